@@ -5,10 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, media, packing, token_counts
+from tessera.llm import langid, media, mixing, neighbours, packing, quality, token_counts
 from tessera.llm.common import documents
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id of the documents labelled good and not toxic."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), trusted(spark, sf_dir))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,5 +42,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_media_columns, op7_language_id, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_source_mix, op4_quality_classifier, op5_best_fit_packing, op6_media_columns, op7_language_id, op8_nearest_neighbours, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op3_source_mix": mixing.ORACLE}
