@@ -101,12 +101,12 @@ WITH d AS (
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
-a AS (SELECT *, source_size * 3 AS most, source_size * 3 / CAST(weight AS DOUBLE) AS at FROM w),
+a AS (SELECT *, source_size * 3 AS most, source_size * 3 / CAST(weight AS DOUBLE) AS brim FROM w),
 l AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / CAST(sum(weight) OVER (ORDER BY at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS own
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY brim, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / CAST(sum(weight) OVER (ORDER BY brim, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS own
   FROM a),
-g AS (SELECT source, source_size, coalesce(least(CAST(most AS DOUBLE), max(CASE WHEN own <= at THEN own END) OVER () * weight), 0) AS target FROM l),
+g AS (SELECT source, source_size, coalesce(least(CAST(most AS DOUBLE), max(CASE WHEN own <= brim THEN own END) OVER () * weight), 0) AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM g),
 k AS (SELECT source, key, sum(size) AS words FROM d GROUP BY source, key),
 r AS (SELECT source, key, words, sum(words) OVER (PARTITION BY source ORDER BY key) AS upto FROM k),
