@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def in_batches(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20, column:
             step = max(1, min(batch.num_rows - start, 256))
             while end < batch.num_rows and total < limit:
                 part = batch.column(k).slice(end, step)
-                total += sum(x or 0 for x in pa.compute.binary_length(part).to_pylist()) if len(part) else 0
+                total += pc.sum(pc.binary_length(part)).as_py() or 0
                 end += len(part)
             yield batch.slice(start, end - start)
             start = end

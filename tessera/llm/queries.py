@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, media, mixing, neighbours, ngram_join, packing, quality, token_counts
+from tessera.llm import langid, media, mixing, neighbours, ngram_join, packing, quality, repeats, token_counts
 from tessera.llm.common import documents
 
 
@@ -42,9 +42,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_source_mix, op4_quality_classifier, op5_best_fit_packing, op6_media_columns, op7_language_id, op8_nearest_neighbours, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_source_mix, op4_quality_classifier, op5_best_fit_packing, op6_media_columns, op7_language_id, op8_nearest_neighbours, op9_repeated_passages, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op3_source_mix": mixing.ORACLE}
