@@ -16,24 +16,33 @@ their class by partition offsets, and each finds its slot by binary search.
 from __future__ import annotations
 
 import heapq
+import os
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, pick
 
-#: Chunks of text whose ids a worker remembers, and the longest one remembered.
-REMEMBERED, LONGEST = 400_000, 64
+#: Chunks, and words, whose ids a worker remembers, and the longest one remembered.
+CHUNKS, WORDS, LONGEST = 500_000, 1_000_000, 64
+#: The tokenizer's own words, fixed by its file.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: A byte's name in a byte-level vocabulary: itself if it can be printed, else the next free code point from 256.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 _loaded: dict = {}
 
 
 def tokenizer(path: str):
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
@@ -44,11 +53,24 @@ class Ids:
     """The ids of a text as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those
-    of its chunks between spaces and line feeds, each looked up once.
+    of its chunks between spaces and line feeds, each looked up.  The ids of a chunk of
+    plain Latin characters are those of its lower-cased words, each encoded once while it
+    is remembered; other chunks are encoded whole.
     """
 
     def __init__(self, path: str):
-        self.encode, self.known = tokenizer(path).encode_batch, {"": b""}
+        self.encode, self.known, self.words = tokenizer(path).encode_batch, {"": b""}, {}
+        self.merge = tokenizer(path).model.tokenize  # what encode does with a word once it is folded and cut out
+
+    def _encoded(self, new: list[str]) -> dict[str, bytes]:
+        return dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.encode(new, add_special_tokens=False)), strict=True)) if new else {}
+
+    @staticmethod
+    def _parts(chunk: str) -> list[str] | None:
+        if len(chunk) > LONGEST or not (chunk.isascii() or max(chunk) < "\u0100") or not chunk.isprintable() or "<|" in chunk:
+            return None
+        low = chunk.lower()
+        return [low] if low.isalpha() else _WORD.findall(low)
 
     def of(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
@@ -57,21 +79,30 @@ class Ids:
             return b"".join([known[c] for c in chunks])
         except KeyError:
             pass
-        new = list({c for c in chunks if c not in known})
-        if len(known) + len(new) > REMEMBERED:
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(known) > CHUNKS:
             known.clear()
             known[""] = b""
-            new = list({*chunks} - {""})
-        ids = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.encode(new, add_special_tokens=False)), strict=True))
+        new = {c: self._parts(c) for c in set(chunks) if c not in known}
+        words, merge = self.words, self.merge
+        for w in {w for parts in new.values() for w in parts or () if w not in words}:
+            ids = [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_NAMES))]
+            words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        ids = self._encoded([c for c, parts in new.items() if parts is None])
+        ids.update((c, words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])) for c, parts in new.items() if parts is not None)
         known.update((c, x) for c, x in ids.items() if len(c) <= LONGEST)
         return b"".join([known[c] if c in known else ids[c] for c in chunks])
 
 
+_ids: dict[str, Ids] = {}  # by path, kept by a worker from task to task
+
+
 def _pieces(path: str, capacity: int, end: int):
     mark = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = _ids[path] if path in _ids else _ids.setdefault(path, Ids(path))
         for batch in batches:
             of, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
