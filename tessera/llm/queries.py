@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, media, mixing, neighbours, ngram_join, packing, quality, repeats, token_counts
+from tessera.llm import langid, media, mixing, neighbours, ngram_join, packing, pii, quality, repeats, token_counts
 from tessera.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
@@ -50,5 +54,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_source_mix, op4_quality_classifier, op5_best_fit_packing, op6_media_columns, op7_language_id, op8_nearest_neighbours, op9_repeated_passages, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_ngram_jaccard_join, op3_source_mix, op4_quality_classifier, op5_best_fit_packing, op6_media_columns, op7_language_id, op8_nearest_neighbours, op9_repeated_passages, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op3_source_mix": mixing.ORACLE}
