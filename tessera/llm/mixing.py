@@ -50,18 +50,27 @@ def _boundary(sums: DataFrame) -> DataFrame:
     return inside.groupBy("source").agg(F.min(F.struct("bucket", "before", "words", "budget")).alias("b")).select("source", "b.*")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: one row for each row of docs.
-
-    Sources, by code point and null last, take the weights in turn; their targets are
-    shares of all words, at most `most` times what they have, the excess shared again.
-    A null text has size 0; a source without words has target 0.  Rows that share a doc_id
-    (or, without one, a text) are taken alike, so reruns agree.  Other columns are ignored;
-    an empty table gives an empty result.
-    """
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, key of each row."""
     own = pick(docs, doc_id="long", text="string", source="string")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialize(own.select("doc_id", "source", size.alias("size"), hash_key().alias("key")))
+    return own.select("doc_id", "source", size.alias("size"), hash_key().alias("key"))
+
+
+def with_plan(left: DataFrame, right: DataFrame, few: bool, *more: Column) -> DataFrame:
+    """left joined with a per-source table on source, null included."""
+    right = right.withColumnRenamed("source", "_source")
+    condition = left["source"].eqNullSafe(right["_source"])
+    for c in more:
+        condition &= c
+    return left.join(F.broadcast(right) if few else right, condition).drop("_source")
+
+
+def plan(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, bool]:
+    """source, source_size, target, whole, below for each source; and whether they are few.
+
+    A document is taken `whole` times, and once more if its key is below `below`.
+    """
 
     def prefix(level: int) -> Column:
         return F.shiftright("key", BITS * (LEVELS - 1 - level))
@@ -70,27 +79,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) ->
     goal = materialize(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    small = F.broadcast if goal.count() <= BROADCAST_SOURCES else lambda x: x
-
-    def on(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
-        right = right.withColumnRenamed("source", "_source")
-        condition = left["source"].eqNullSafe(right["_source"])
-        for c in more:
-            condition &= c
-        return left.join(small(right), condition).drop("_source")
+    few = goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
 
     wanted = goal.filter("budget > 0").select("source", "budget")
-    edge = materialize(_boundary(on(sums, wanted).withColumn("before", F.lit(0).cast("long"))))
+    edge = materialize(_boundary(with_plan(sums, wanted, few).withColumn("before", F.lit(0).cast("long"))))
     for level in range(1, LEVELS):
         near = edge.select("source", F.col("bucket").alias("_bucket"), F.col("before").alias("_before"), "budget")
-        part = on(rows.withColumn("_prefix", prefix(level - 1)), near, F.expr("_prefix = _bucket"))
+        part = with_plan(rows.withColumn("_prefix", prefix(level - 1)), near, few, F.expr("_prefix = _bucket"))
         part = part.groupBy("source", prefix(level).alias("bucket")).agg(F.sum("size").alias("words"), F.first("_before").alias("before"), F.first("budget").alias("budget"))
         edge = materialize(_boundary(part))
     nearest = (F.col("before") + F.col("words") - F.col("budget")) < (F.col("budget") - F.col("before"))
-    last = edge.select("source", F.when(nearest, F.col("bucket") + 1).otherwise(F.col("bucket")).alias("below"))
-    plan = goal.select("source", "source_size", "target", "whole").join(last.withColumnRenamed("source", "_source"), F.expr("source <=> _source"), "left").drop("_source")
-    copies = (F.col("whole") + (F.col("key") < F.coalesce("below", F.lit(0))).cast("long")).cast("long")
-    return on(rows, plan).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    last = edge.select(F.col("source").alias("_source"), F.when(nearest, F.col("bucket") + 1).otherwise(F.col("bucket")).alias("below"))
+    found = goal.select("source", "source_size", "target", "whole").join(last, F.expr("source <=> _source"), "left").drop("_source")
+    return materialize(found.withColumn("below", F.coalesce("below", F.lit(0)))), few
+
+
+def _copies() -> Column:
+    return (F.col("whole") + (F.col("key") < F.col("below")).cast("long")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies: one row for each row of docs.
+
+    Sources, by code point and null last, take the weights in turn; their targets are
+    shares of all words, at most `most` times what they have, the excess shared again.
+    A null text has size 0; a source without words has target 0.  Rows that share a doc_id
+    (or, without one, a text) are taken alike, so reruns agree.  Other columns are ignored;
+    an empty table gives an empty result.
+    """
+    rows = materialize(sizes(docs))
+    planned, few = plan(rows, weights, most)
+    return with_plan(rows, planned, few).select("doc_id", "size", "source_size", "target", (_copies() * F.col("size")).alias("taken"), _copies().alias("copies"))
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """docs as the mix takes them: each row as often as it is taken, all columns kept."""
+    planned, few = plan(materialize(sizes(docs)), weights, most)
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = own.withColumn("key", hash_key()).drop("doc_id", "text")
+    taken = with_plan(keyed, planned, few).withColumn("copies", _copies()).filter("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 #: The same in DuckDB: running sums by hash instead of histograms.

@@ -30,6 +30,8 @@ from tessera.llm.components import components
 
 #: Cells of the frequency table, and bits of the table that names wanted sets; both are fixed.
 FREQUENCIES, WANTED = 1 << 18, 1 << 22
+#: Dropped rows up to which their keys are broadcast; beyond, they are joined by shuffle.
+BROADCAST_KEYS = 500_000
 #: Rounds of comparison with the smallest set, sets compared with one set in one task, rows of a list compared at once.
 STARS, FAN, ROWS = 3, 2_000, 2_048
 #: Words whose hash a worker remembers.
@@ -93,10 +95,10 @@ def _scan(width: int):
                     np.add.at(seen, (s >> np.uint64(20)).astype(np.int64) % FREQUENCIES, 1)
                 ids.append(set_id(s))
                 sizes.append(len(s))
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int64())], names=["doc_id", "set_id", "n", "cell"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int64())], names=["doc_id", "text_key", "set_id", "n", "cell"])
         at = np.flatnonzero(seen)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.record_batch([none, none, pa.array(seen[at]), pa.array(at)], names=["doc_id", "set_id", "n", "cell"])
+        yield pa.record_batch([none, none, none, pa.array(seen[at]), pa.array(at)], names=["doc_id", "text_key", "set_id", "n", "cell"])
 
     return run
 
@@ -287,8 +289,8 @@ class _Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.width, self.percent, self.spark = width, percent, docs.sparkSession
         self.own = pick(docs, doc_id="long", text="string")
-        scanned = materialize(self.own.select("doc_id", "text").mapInArrow(_scan(width), "doc_id long, set_id long, n long, cell long"))
-        self.rows = scanned.filter("cell is null").select("doc_id", "set_id", F.col("n").alias("n_shingles"))
+        scanned = materialize(self.own.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_scan(width), "doc_id long, text_key long, set_id long, n long, cell long"))
+        self.rows = scanned.filter("cell is null").select("doc_id", "text_key", "set_id", F.col("n").alias("n_shingles"))
         cells = scanned.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most FREQUENCIES rows
         counts = np.zeros(FREQUENCIES, np.int64)
         counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
@@ -365,7 +367,7 @@ class _Join:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of docs.
+    """doc_id, n_shingles, component_id, text_key: one row for each row of docs.
 
     Documents link when their sets of distinct shingles have a Jaccard similarity of at
     least `percent` per cent, equal sets included; component_id is the smallest doc_id that
@@ -380,5 +382,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = materialize(classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(classes.select("set_id", "root").join(least, "root").select("set_id", "component_id"))
-    alone = join.rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return join.rows.filter("n_shingles > 0").join(named, "set_id").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    alone = join.rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
+    return join.rows.filter("n_shingles > 0").join(named, "set_id").select("doc_id", "n_shingles", "component_id", "text_key").unionByName(alone)
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id, all columns kept.
+
+    Documents without shingles stay.  Of repeated rows (equal doc_id and text) one stays;
+    rows without a doc_id go if their component has one, and stay otherwise.
+    """
+    rows = materialize(near_duplicates(docs, width, percent).filter("n_shingles > 0"))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+    named = rows.withColumn("_key", F.xxhash64("doc_id", "text_key"))
+    gone = named.filter("component_id is not null and not (doc_id <=> component_id)").select("_key").distinct()
+    # What the smallest doc_id of a component has in several rows.
+    twice = named.filter("doc_id = component_id").groupBy("component_id").agg(F.count("*").alias("n"), F.min("_key").alias("_key")).filter("n > 1")
+    special = materialize(gone.withColumn("rows", F.lit(0)).unionByName(twice.select("_key", F.lit(1).alias("rows"))).unionByName(named.join(twice.select("component_id"), "component_id").filter("doc_id = component_id").select("_key", F.lit(0).alias("rows"))).groupBy("_key").agg(F.max("rows").alias("rows")))
+    few = special.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    keyed = docs.withColumn("_key", key)
+    rest = keyed.join(F.broadcast(special) if few else special, "_key", "left_anti")
+    once = special.filter("rows = 1").select("_key")
+    if once.take(1):
+        rest = rest.unionByName(keyed.join(F.broadcast(once) if few else once, "_key", "left_semi").dropDuplicates(["_key"]))
+    return rest.select(*(F.col(f"`{c}`") for c in docs.columns))

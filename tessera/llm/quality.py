@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, pick
@@ -29,7 +29,7 @@ ORDER = 4
 #: Symbols that stand for no one character: start of text, other, capital inside a word, digit.
 START, OTHER, CAPITAL, DIGIT, FIRST = 0, 1, 2, 3, 4
 #: Trusted rows up to which their ids are broadcast; beyond, they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 @functools.cache
@@ -170,7 +170,7 @@ def _score(shared):
 def trusted_rows(docs: DataFrame, trusted: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows of docs whose doc_id is in trusted."""
     ids = trusted.select(F.col(column).cast("long").alias(column)).filter(F.col(column).isNotNull()).distinct()
-    few = len(ids.limit(BROADCAST_IDS + 1).selectExpr("1").groupBy().count().filter(F.col("count") > BROADCAST_IDS).take(1)) == 0
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
@@ -181,7 +181,32 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(_score(shared), f"{kept}, loss double, size long")
 
 
-def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 0.15, room: float = 3.0) -> DataFrame:
+class Judge:
+    """A model and the limits of loss per character that its trusted texts give."""
+
+    def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 0.15, room: float = 3.0):
+        own = trusted_rows(pick(docs, doc_id="long", text="string", lang="string"), trusted).filter(F.length("text") > 0)
+        self.model, self.slack, self.room = train(own.select("text")), slack, room
+        good = materialize(score(own.select("lang", "text"), self.model).select("lang", (F.col("loss") / F.col("size")).alias("mean")))
+        cut = F.percentile_approx("mean", F.lit(quantile), F.lit(10_000))
+        rows = good.filter("lang is not null").groupBy("lang").agg(cut.alias("cut"), F.count("*").alias("n"))
+        self.by_lang = {r.lang: r.cut for r in rows.orderBy(F.desc("n"), "lang").limit(1_000).collect()}
+        self.overall = good.agg(cut.alias("cut")).first().cut
+
+    def limit(self, lang: Column, size: Column) -> Column:
+        if self.overall is None:
+            return F.lit(float("inf"))
+        cut = F.lit(self.overall)
+        if self.by_lang:
+            cut = F.coalesce(F.create_map(*(F.lit(x) for pair in self.by_lang.items() for x in pair))[lang], cut)
+        return cut + self.slack + F.lit(self.room) / F.sqrt(F.greatest(size, F.lit(1)))
+
+
+def _mean() -> Column:
+    return F.when(F.col("size") > 0, F.col("loss") / F.col("size")).otherwise(F.lit(0.0))
+
+
+def judge(docs: DataFrame, trusted: DataFrame, **settings: float) -> DataFrame:
     """doc_id, lang, size, perplexity, threshold, rejected: one row for each row of docs.
 
     docs: doc_id, text, lang; trusted: the doc_ids of texts to train on, of which the
@@ -192,20 +217,15 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: f
     trusted.  Repeated rows are judged alike.  Other columns are ignored; an empty table
     gives an empty result.
     """
-    own = pick(docs, doc_id="long", text="string", lang="string")
-    texts = trusted_rows(own, trusted).filter(F.length("text") > 0).select("text")
-    model = train(texts)
-    scored = materialize(score(own.select("doc_id", "lang", "text"), model))
-    each = F.when(F.col("size") > 0, F.col("loss") / F.col("size"))
-    good = trusted_rows(scored, trusted).filter("size > 0").select("lang", each.alias("mean"))
-    cut = F.percentile_approx("mean", F.lit(quantile), F.lit(10_000))
-    by_lang = {r.lang: r.cut for r in good.filter("lang is not null").groupBy("lang").agg(cut.alias("cut"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(10_000).collect()}
-    overall = good.agg(cut.alias("cut")).first().cut
-    if overall is None:
-        by_lang, overall = {}, float("inf")
-    mapping = F.create_map(*(F.lit(x) for pair in by_lang.items() for x in pair)) if by_lang else None
-    limit = F.coalesce(mapping[F.col("lang")], F.lit(overall)) if by_lang else F.lit(overall)
-    limit = limit + slack + F.lit(room) / F.sqrt(F.greatest("size", F.lit(1)))
-    return scored.select(
-        "doc_id", "lang", "size", F.exp(F.coalesce(each, F.lit(0.0))).alias("perplexity"), F.exp(limit).alias("threshold"), (F.coalesce(each, F.lit(0.0)) > limit).alias("rejected")
-    )
+    by = Judge(docs, trusted, **settings)
+    scored = score(pick(docs, doc_id="long", lang="string", text="string"), by.model)
+    limit = by.limit(F.col("lang"), F.col("size"))
+    return scored.select("doc_id", "lang", "size", F.exp(_mean()).alias("perplexity"), F.exp(limit).alias("threshold"), (_mean() > limit).alias("rejected"))
+
+
+def keep(docs: DataFrame, trusted: DataFrame, **settings: float) -> DataFrame:
+    """The rows of docs that aren't rejected, with all their columns."""
+    by = Judge(docs, trusted, **settings)
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    scored = score(own, by.model).filter(_mean() <= by.limit(F.col("lang"), F.col("size")))
+    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
