@@ -1,0 +1 @@
+"""A raster analytics engine on Spark DataFrames."""
