@@ -1,23 +1,26 @@
 """Similarity self-join of documents on word shingles, by rare-first prefix filtering.
 
 A document is the set of its hashed shingles.  Sets are ordered rare-first: by frequency
-class, then by hash.  Frequencies are counted over all documents in a hashed table of
-fixed size, so that order never grows with the corpus; any order gives right results.
+class, then by hash.  Shingles are counted over all documents, block by block; what occurs
+more than once in a block is summed in a hashed table of fixed size, so that the order's
+size never grows with the corpus, and one-off shingles don't blur it.  Any order gives
+right results; this one puts common passages behind what tells documents apart.
 Two sets with Jaccard similarity of at least t share an element of their prefixes, so
 only prefixes are shuffled.  Documents with equal sets are one set from then on.
 
 Groups of near copies aren't expanded into pairs.  In each posting list, sets are first
 compared with the list's smallest one only (a star); what links is one component, and
 two sets of one component are never compared again.  After these rounds every pair of
-different components that shares a prefix element and passes the length, positional and
-count filters is compared, each once, so no link between components is lost.  Each
-comparison begins with a suffix filter: the sets' counts in hash ranges bound their
-difference.
+different components that shares a prefix element and passes the length and positional
+filters is compared, each once, so no link between components is lost: a linked pair's
+first common element passes them.  Each comparison begins with a suffix filter: the sets'
+counts in hash ranges bound their difference.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, pick
+from tessera.llm.common import in_batches, materialize, pick
 from tessera.llm.components import components
 
 #: Cells of the frequency table, and bits of the table that names wanted sets; both are fixed.
-FREQUENCIES, WANTED = 1 << 18, 1 << 22
+FREQUENCIES, WANTED = 1 << 20, 1 << 22
 #: Dropped rows up to which their keys are broadcast; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 500_000
-#: Rounds of comparison with the smallest set, sets compared with one set in one task, rows of a list compared at once.
-STARS, FAN, ROWS = 3, 2_000, 2_048
+#: Shingles counted at once, rounds of comparison with the smallest set, sets compared with one set in one task,
+#: lists that are compared side by side, and rows of a longer one compared at once.
+BLOCK, STARS, FAN, SIDE, ROWS = 4_000_000, 3, 2_000, 32, 2_048
 #: Words whose hash a worker remembers.
 REMEMBERED = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -73,6 +77,30 @@ def shingles(text: str | None, width: int, words: _Words) -> np.ndarray:
     return total[np.r_[True, total[1:] != total[:-1]]]
 
 
+def batch_shingles(texts: list[str | None], width: int, words: _Words) -> list[np.ndarray]:
+    """shingles() of each text, with the hashing done for all of them at once."""
+    found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    ends = np.cumsum([len(f) for f in found])
+    total = int(ends[-1]) if len(ends) else 0
+    h = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.uint64, total)
+    if total >= width:
+        out = h[: total - width + 1].copy()
+        for k in range(1, width):
+            out = _mixed(out) + h[k : total - width + 1 + k] * _PRIME
+        out = _mixed(out + np.uint64(width))
+    sets = []
+    for i, f in enumerate(found):
+        if len(f) >= width:
+            s = np.sort(out[ends[i] - len(f) : ends[i] - width + 1])
+            sets.append(s[np.concatenate([_TRUE, s[1:] != s[:-1]])])
+        else:
+            sets.append(shingles(texts[i], width, words))
+    return sets
+
+
+_TRUE = np.ones(1, bool)
+
+
 def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -82,20 +110,28 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _scan(width: int):
-    """A row for each document; and this task's shingle frequencies."""
+    """A row for each document; and the shingles that a block of documents has more than once, by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _Words(), np.zeros(FREQUENCIES, np.int64)
-        for batch in batches:
-            ids, sizes = [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), width, words)
-                seen += np.bincount((s >> np.uint64(20)).astype(np.int64) % FREQUENCIES, minlength=FREQUENCIES) if len(s) > 4096 else 0
-                if len(s) <= 4096:
-                    np.add.at(seen, (s >> np.uint64(20)).astype(np.int64) % FREQUENCIES, 1)
-                ids.append(set_id(s))
-                sizes.append(len(s))
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(ids), pa.int64())], names=["doc_id", "text_key", "set_id", "n", "cell"])
+        words, seen, held, block = _Words(), np.zeros(FREQUENCIES, np.int64), 0, []
+
+        def count() -> None:
+            h = np.sort(np.concatenate([np.zeros(0, np.uint64), *block]))
+            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[at, len(h)])
+            at, n = at[n > 1], n[n > 1]
+            np.add.at(seen, _cell(h[at]), n)
+            block.clear()
+
+        for batch in in_batches(batches):
+            sets = batch_shingles(batch.column(1).to_pylist(), width, words)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=["doc_id", "text_key", "set_id", "n", "cell"])
+            block.extend(sets)
+            held += sum(map(len, sets))
+            if held > BLOCK:
+                count()
+                held = 0
+        count()
         at = np.flatnonzero(seen)
         none = pa.nulls(len(at), pa.int64())
         yield pa.record_batch([none, none, none, pa.array(seen[at]), pa.array(at)], names=["doc_id", "text_key", "set_id", "n", "cell"])
@@ -103,22 +139,25 @@ def _scan(width: int):
     return run
 
 
+def _cell(s: np.ndarray) -> np.ndarray:
+    return ((s >> np.uint64(20)) % np.uint64(FREQUENCIES)).astype(np.int64)
+
+
 def frequency_classes(counts: np.ndarray) -> np.ndarray:
-    """Twice the binary logarithm, so that what lies within sampling noise shares a class."""
-    return np.round(2 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
+    """Twice the binary logarithm."""
+    return np.round(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
 def rare_first(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return s[np.lexsort((s, classes[(s >> np.uint64(20)).astype(np.int64) % FREQUENCIES]))]
+    return s[np.argsort(classes[_cell(s)], kind="stable")]  # s is sorted by hash
 
 
 def _prefixes(shared, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done, classes = _Words(), set(), shared.value
-        for batch in batches:
+        for batch in in_batches(batches):
             tokens, ids, places = [], [], []
-            for text in batch.column(0):
-                s = shingles(text.as_py(), width, words)
+            for s in batch_shingles(batch.column(0).to_pylist(), width, words):
                 if not len(s) or (own := set_id(s)) in done:
                     continue
                 if len(done) >= REMEMBERED:
@@ -154,84 +193,103 @@ def _starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists with two different sets at least; a set once."""
-    names = ["token", "set_id", "place"]
-    for g in _groups(batches, names):
-        same = np.r_[False, (g["token"][1:] == g["token"][:-1]) & (g["set_id"][1:] == g["set_id"][:-1])]
-        g = {n: v[~same] for n, v in g.items()}
-        size = np.diff(np.r_[_starts(g["token"]), len(g["token"])])
-        keep = np.repeat(size > 1, size)
-        if keep.any():
-            yield pa.record_batch([pa.array(g[n][keep]) for n in names], names=names)
-
-
 def required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """The least number of common elements of two linked sets: J >= t is overlap >= t / (1 + t) (n + m)."""
     return -(-percent * (n + m) // (100 + percent))
 
 
 def _may_link(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Length and positional filters, from places: size << 32 | position."""
+    """Length and positional filters, from places (size << 32 | position), for a first common element."""
     n, i, m, j = x >> 32, x & 0xFFFFFFFF, y >> 32, y & 0xFFFFFFFF
-    most = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (most >= required(n, m, percent))
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - i - 1, m - j - 1) >= required(n, m, percent))
+
+
+def _pairs(g: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (r, c) of pairs in one list that may link, r before c, in parts.  Rows are sorted by (token, place)."""
+    token, place = g["token"], g["place"]
+    starts = _starts(token)
+    size = np.diff(np.r_[starts, len(token)])
+    small = np.repeat(size <= SIDE, size)
+    for k in range(1, SIDE):
+        r = np.flatnonzero((token[k:] == token[:-k]) & small[:-k])
+        if not len(r):
+            break
+        r = r[_may_link(place[r], place[r + k], percent)]
+        yield r, r + k
+    for a, b in zip(starts[size > SIDE], (starts + size)[size > SIDE], strict=True):
+        sizes = place[a:b] >> 32
+        for low in range(0, b - a, ROWS):
+            high = min(low + ROWS, b - a)
+            # Sizes ascend, so partners end where they are too large for the last of these rows.
+            for to in range(low, int(np.searchsorted(sizes * percent, sizes[high - 1] * 100, "right")), ROWS):
+                end = min(to + ROWS, b - a)
+                r, c = np.nonzero(_may_link(place[a + low : a + high, None], place[None, a + to : a + end], percent))
+                keep = r + low < c + to
+                yield r[keep] + a + low, c[keep] + a + to
+
+
+def _lists(percent: int):
+    """Postings that may be the first common element of a linked pair; a set once in a list."""
+    names = ["token", "place", "set_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, names):
+            same = np.r_[False, (g["token"][1:] == g["token"][:-1]) & (g["set_id"][1:] == g["set_id"][:-1])]
+            g = {n: v[~same] for n, v in g.items()}
+            size = np.diff(np.r_[_starts(g["token"]), len(g["token"])])
+            keep = np.repeat(size > SIDE, size)
+            small = np.repeat((size > 1) & (size <= SIDE), size)
+            few = {n: v[small] for n, v in g.items()}
+            used = np.zeros(len(few["token"]), bool)
+            for r, c in _pairs(few, percent):
+                used[r] = used[c] = True
+            keep[np.flatnonzero(small)[used]] = True
+            if keep.any():
+                yield pa.record_batch([pa.array(g[n][keep]) for n in names], names=names)
+
+    return run
 
 
 def _stars(percent: int):
-    """(set, smallest set of its list) wherever they are of different components."""
+    """(set, smallest set of its list and size class) wherever they may link and are of different components."""
     names = ["token", "place", "set_id", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None  # (token, place, set, root), kept over batches, so that a list of any length streams
+        last = None  # of the batch before: its last row's group and that group's first row
         for batch in batches:
             v = {n: batch.column(n).to_numpy() for n in names}
-            out = []
-            starts = _starts(v["token"])
-            for a, b in zip(starts, np.r_[starts[1:], len(v["token"])], strict=True):
-                at = a
-                while at < b:
-                    if pivot is None or pivot[0] != v["token"][at]:
-                        pivot = tuple(v[n][at] for n in names)
-                    near = 100 * (pivot[1] >> 32) >= percent * (v["place"][at:b] >> 32)  # sizes ascend
-                    until = at + int(near.sum())
-                    part = slice(at, until)
-                    ok = _may_link(v["place"][part], np.int64(pivot[1]), percent) & (v["root"][part] != pivot[3])
-                    out.append((v["set_id"][part][ok], np.full(int(ok.sum()), pivot[2]), np.maximum(v["place"][part][ok] >> 32, 0), np.full(int(ok.sum()), pivot[1] >> 32)))
-                    at = until
-                    if at < b:
-                        pivot = tuple(v[n][at] for n in names)
-            if out:
-                yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["x", "y", "n", "m"])
+            if not len(v["token"]):
+                continue
+            group = np.floor(np.log(v["place"] >> 32) / np.log(100 / percent)).astype(np.int64)
+            at = np.flatnonzero(np.r_[True, (v["token"][1:] != v["token"][:-1]) | (group[1:] != group[:-1])])
+            pivot = {n: np.repeat(v[n][at], np.diff(np.r_[at, len(group)])) for n in names}
+            if last is not None and (last[0], last[1]) == (v["token"][0], group[0]):
+                until = at[1] if len(at) > 1 else len(group)
+                for n in names:
+                    pivot[n][:until] = last[2][n]
+            last = v["token"][-1], group[-1], {n: pivot[n][-1] for n in names}
+            ok = (v["root"] != pivot["root"]) & _may_link(v["place"], pivot["place"], percent)
+            yield pa.record_batch([pa.array(v["set_id"][ok]), pa.array(pivot["set_id"][ok])], names=["x", "y"])
 
     return run
 
 
 def _crossings(percent: int):
-    """All pairs of a list that are of different components and pass the filters."""
+    """All pairs of a list that are of different components and may link."""
     names = ["token", "place", "set_id", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, names):
             starts = _starts(g["token"])
-            for a, b in zip(starts, np.r_[starts[1:], len(g["token"])], strict=True):
-                place, ids, root = (g[n][a:b] for n in names[1:])
-                if (root == root[0]).all():
-                    continue
-                size = place >> 32
-                for low in range(0, b - a, ROWS):
-                    high = min(low + ROWS, b - a)
-                    # Sizes ascend: partners of these rows are between these places.
-                    for to in range(low, int(np.searchsorted(size * percent, size[high - 1] * 100, "right")), ROWS):
-                        end = min(to + ROWS, b - a)
-                        ok = _may_link(place[low:high, None], place[None, to:end], percent) & (root[low:high, None] != root[None, to:end])
-                        r, c = np.nonzero(ok)
-                        r, c = r + low, c + to
-                        keep = r < c
-                        r, c = r[keep], c[keep]
-                        if len(r):
-                            swap = ids[r] < ids[c]
-                            yield pa.record_batch([pa.array(np.where(swap, ids[r], ids[c])), pa.array(np.where(swap, ids[c], ids[r])), pa.array(np.where(swap, size[r], size[c])), pa.array(np.where(swap, size[c], size[r]))], names=["x", "y", "n", "m"])
+            first = np.repeat(starts, np.diff(np.r_[starts, len(g["token"])]))
+            mixed = np.add.reduceat((g["root"] != g["root"][first]).astype(np.int64), starts) > 0
+            keep = np.repeat(mixed, np.diff(np.r_[starts, len(g["token"])]))
+            g = {n: v[keep] for n, v in g.items()}
+            for r, c in _pairs(g, percent):
+                ok = g["root"][r] != g["root"][c]
+                a, b = g["set_id"][r[ok]], g["set_id"][c[ok]]
+                if len(a):
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
 
     return run
 
@@ -241,10 +299,9 @@ def _sets(shared, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done, wanted = _Words(), set(), np.unpackbits(np.frombuffer(shared.value, np.uint8))
-        for batch in batches:
+        for batch in in_batches(batches):
             ids, sets = [], []
-            for text in batch.column(0):
-                s = shingles(text.as_py(), width, words)
+            for s in batch_shingles(batch.column(0).to_pylist(), width, words):
                 if len(s) and wanted[(own := set_id(s)) % WANTED] and own not in done:
                     if len(done) >= REMEMBERED:
                         done.clear()
@@ -299,7 +356,7 @@ class _Join:
 
     def lists(self) -> DataFrame:
         postings = self.own.select("text").mapInArrow(_prefixes(self.classes, self.width, self.percent), "token long, set_id long, place long")
-        return materialize(postings.repartition("token").sortWithinPartitions("token", "set_id").mapInArrow(_lists, "token long, set_id long, place long"))
+        return materialize(postings.repartition("token").sortWithinPartitions("token", "place", "set_id").mapInArrow(_lists(self.percent), "token long, place long, set_id long"))
 
     def load(self, ids: DataFrame) -> None:
         """Read the sets of these ids (a column set_id) from the texts."""
@@ -322,15 +379,10 @@ class _Join:
     def roots(self) -> DataFrame:
         """set_id, root of every set that is linked with another."""
         lists = self.lists()
-        size = F.shiftright("place", 32)
-        # Near copies share much of their prefixes; the others wait for the last round.
-        likely = materialize(lists.groupBy("set_id").agg(F.count("*").alias("shared"), F.max(size).alias("n")).filter(F.col("shared") * 20 >= F.col("n")).select("set_id"))
-        self.load(likely)
-        close = materialize(lists.join(likely, "set_id", "left_semi"))
+        self.load(lists.select("set_id").distinct())
         links, tried, roots = None, None, None
         for _ in range(STARS):
-            rows = self._rooted(close, roots).repartition("token").sortWithinPartitions("token", "place", "set_id")
-            seen = rows.mapInArrow(_stars(self.percent), "x long, y long, n long, m long").groupBy("x", "y").agg(F.count("*").alias("shared"))
+            seen = self._rooted(lists, roots).mapInArrow(_stars(self.percent), "x long, y long").groupBy("x", "y").agg(F.count("*").alias("shared"))
             if tried is not None:
                 seen = seen.join(tried, ["x", "y"], "left_anti")
             pairs = materialize(seen.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", F.col("best.y").alias("y")))
@@ -340,18 +392,9 @@ class _Join:
                 break
             links = new if links is None else links.unionByName(new)
             roots = components(links)
-        rows = self._rooted(lists, roots).repartition("token").sortWithinPartitions("token", "place", "set_id")
-        pairs = rows.mapInArrow(_crossings(self.percent), "x long, y long, n long, m long").groupBy("x", "y").agg(F.count("*").alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
-        # Common elements beyond the shared prefix elements lie behind the prefix of one of the two.
-        need = F.ceil(self.percent * (F.col("n") + F.col("m")) / (100 + self.percent))
-        behind = F.greatest(F.ceil(self.percent * F.col("n") / 100), F.ceil(self.percent * F.col("m") / 100)) - 1
-        pairs = pairs.filter(F.col("shared") + behind >= need).select("x", "y")
-        both = tried.unionByName(tried.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        pairs = materialize(pairs.join(both, ["x", "y"], "left_anti"))
-        ids = materialize(pairs.select(F.col("x").alias("set_id")).unionByName(pairs.select(F.col("y").alias("set_id"))).distinct().join(likely, "set_id", "left_anti"))
-        if ids.take(1):
-            self.load(ids)
-        new = self.linked(pairs)
+        pairs = self._rooted(lists, roots).mapInArrow(_crossings(self.percent), "x long, y long").distinct()
+        once = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        new = self.linked(materialize(pairs.join(once, ["x", "y"], "left_anti")))
         if links is None:
             return components(new).withColumnRenamed("id", "set_id")
         if new.take(1):
@@ -360,10 +403,12 @@ class _Join:
 
     @staticmethod
     def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """lists with the root of each set, and only lists whose sets are of several components."""
+        """lists with the root of each set, a list's rows together and by size."""
         if roots is None:
-            return lists.withColumn("root", F.col("set_id"))
-        return lists.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+            rows = lists.withColumn("root", F.col("set_id"))
+        else:
+            rows = lists.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        return rows.select("token", "place", "set_id", "root").repartition("token").sortWithinPartitions("token", "place", "set_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
