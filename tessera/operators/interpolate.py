@@ -100,7 +100,7 @@ def spline(points: DataFrame, cells: DataFrame, spec: Spec, element: str = "z",
     A point beyond the fringe, or with a missing sample among its sixteen, gets nulls.
     hx, hy: spacing of columns and rows; zero is an error.
     """
-    if 0 in (hx, hy):
+    if any(not isinstance(h, Column) and h == 0 for h in (hx, hy)):
         raise ValueError("a spacing of zero")
     hx, hy = (F.lit(float(h)) if not isinstance(h, Column) else h for h in (hx, hy))
     s = _samples(neighbourhood(points, spec), cells, spec, element, 4)
