@@ -55,4 +55,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_personal_data, op2_ngram_jaccard_join, op3_source_mix, op4_quality_classifier, op5_best_fit_packing, op6_media_columns, op7_language_id, op8_nearest_neighbours, op9_repeated_passages, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": ngram_join.ORACLE, "op3_source_mix": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard_join": ngram_join.ORACLE, "op3_source_mix": mixing.ORACLE, "op9_repeated_passages": repeats.ORACLE}

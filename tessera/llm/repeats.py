@@ -265,3 +265,20 @@ def _joined(own: DataFrame, spans: DataFrame, touched) -> DataFrame:
     none = F.lit(None).cast("array<long>")
     whole = tested.filter(~F.col("maybe")).select("doc_id", "text", none.alias("begin"), none.alias("end"))
     return whole.unionByName(tested.filter("maybe").join(spans, "key", "left").select("doc_id", "text", "begin", "end"))
+
+
+#: The same in DuckDB, with every string of 50 bytes.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS g FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE doc_id IS NOT NULL)),
+m AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT doc_id, i FROM s JOIN m USING (g) WHERE doc_id > least),
+o AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS new FROM f),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+u AS (SELECT doc_id, run, min(i) AS b, max(i) + 50 AS e FROM r GROUP BY 1, 2),
+k AS (SELECT doc_id, b AS cut, e AS next, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 1) AS prior FROM u),
+c AS (SELECT doc_id, sum(next - cut) AS gone, count(*) AS spans, max(next) AS tail, list({'b': prior, 'e': cut - 1} ORDER BY cut) AS kept FROM k GROUP BY 1)
+SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(c.gone, 0) AS BIGINT) AS n_removed, coalesce(c.spans, 0) AS n_spans,
+  sha256(CASE WHEN c.doc_id IS NULL THEN d.b ELSE list_reduce(list_transform(kept, lambda p: array_slice(d.b, p.b, p.e)) || [array_slice(d.b, tail, octet_length(d.b))], lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
