@@ -386,3 +386,43 @@ def damaged(packed: DataFrame) -> DataFrame:
             yield b.filter(pa.array(bad, pa.bool_())).select([0, 1])
 
     return packed.select("tile_index", "element", "packing", "checksum").mapInArrow(run, "tile_index int, element string")
+
+
+def byte_entropy(packed: DataFrame) -> DataFrame:
+    """For each codec: mean over tiles of the bits per byte of its packings, of order 0 and given the byte before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bits_of(counts: np.ndarray) -> float:
+            c = counts[counts > 0].astype(np.float64)
+            return float(np.log2(c.sum()) - (c * np.log2(c)).sum() / c.sum()) if len(c) else 0.0
+
+        for b in batches:
+            zero, one = [], []
+            for data in b.column(1).to_pylist():
+                x = np.frombuffer(data, np.uint8).astype(np.int64)
+                zero.append(bits_of(np.bincount(x)))
+                pairs = x[:-1] * 256 + x[1:]
+                one.append(bits_of(np.unique(pairs, return_counts=True)[1]) - bits_of(np.bincount(x[:-1])) if len(x) > 1 else 0.0)
+            yield pa.record_batch([b.column(0), pa.array(zero, pa.float64()), pa.array(one, pa.float64())], names=["codec", "order0", "order1"])
+
+    each = packed.select("codec", "packing").mapInArrow(run, "codec string, order0 double, order1 double")
+    return each.groupBy("codec").agg(F.count("*").alias("tiles"), F.avg("order0").alias("order0"), F.avg("order1").alias("order1"))
+
+
+def plane_sizes(tiles: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """plane, bytes, bits (mean entropy) of the five planes of float tiles."""
+    names = ("sign", "exponent", "mantissa_high", "mantissa_middle", "mantissa_low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for values in b.column(0):
+                for name, p in zip(names, FloatPlanes.planes(_tile(values, "float", shape)), strict=True):
+                    c = np.bincount(p)
+                    c = c[c > 0]
+                    rows.append((name, len(zlib.compress(np.diff(p, prepend=np.uint8(0)).tobytes(), 9)), float(np.log2(c.sum()) - (c * np.log2(c)).sum() / c.sum())))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["plane", "size", "entropy"])
+
+    each = tiles.select("values").mapInArrow(run, "plane string, size long, entropy double")
+    return each.groupBy("plane").agg(F.sum("size").alias("bytes"), F.avg("entropy").alias("bits"))

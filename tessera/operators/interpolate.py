@@ -148,3 +148,25 @@ def normals(points: DataFrame, cells: DataFrame, spec: Spec, element: str = "z")
     s = spline(at_model(points, spec), cells, spec, element, hx, hy, 1)
     nx, ny, nz = unit_normal(F.col("zx"), F.col("zy"))
     return s.withColumns({"nx": nx, "ny": ny, "nz": nz})
+
+
+def bilinear_rgb(points: DataFrame, cells: DataFrame, spec: Spec, rgb: str = "rgb") -> DataFrame:
+    """points with packed rgb: each channel bilinear, rounded half up."""
+    s = _samples(neighbourhood(points, spec, 2), cells, spec, rgb, 2)
+    u, v = F.col("u"), F.col("v")
+
+    def channel(shift: int) -> Column:
+        total = None
+        for j, a in enumerate((1 - v, v)):
+            for i, b in enumerate((1 - u, u)):
+                c = F.shiftright(F.get(F.get("s", j), i).cast("int"), shift).bitwiseAND(255)
+                total = c * a * b if total is None else total + c * a * b
+        return F.floor(total + 0.5)
+
+    return s.withColumn(rgb, (channel(16) * 65536 + channel(8) * 256 + channel(0)).cast("int")).drop("s", "u", "v", "row0", "col0", "inside")
+
+
+def off_grid(coordinates: DataFrame, spec: Spec, tolerance: float = 1e-6) -> DataFrame:
+    """Rows (row, col, x, y) whose coordinates are not those that the specification gives their cell."""
+    x, y = grid.grid_to_model(spec, F.col("row"), F.col("col"))
+    return coordinates.filter((F.abs(F.col("x") - x) > tolerance) | (F.abs(F.col("y") - y) > tolerance))

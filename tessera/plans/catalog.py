@@ -378,6 +378,27 @@ def bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolate.bilinear(points(spark, sf_dir, 40, 50), generated(spark), Spec(40, 50)).select("point_id", micro(F.col("z")).alias("z"))
 
 
+@query(f"""WITH {GEN_SQL}, {_GEN_POINTS}, c AS (SELECT row, col, CAST(row * 4 * 65536 + col * 4 * 256 + (row + col) * 2 AS INTEGER) AS rgb FROM g),
+h AS (SELECT *, CAST(least(floor(grid_row), 38) AS INTEGER) AS row0, CAST(least(floor(grid_col), 48) AS INTEGER) AS col0 FROM p)
+SELECT point_id, CAST(floor(grid_row * 4 + 0.5) * 65536 + floor(grid_col * 4 + 0.5) * 256 + floor((grid_row + grid_col) * 2 + 0.5) AS INTEGER) AS rgb FROM h
+WHERE abs(grid_row * 4 % 1 - 0.5) > 0.01 AND abs(grid_col * 4 % 1 - 0.5) > 0.01 AND abs((grid_row + grid_col) * 2 % 1 - 0.5) > 0.01""")
+def bilinear_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours that are linear in the grid, so that the answer is known; points without ties."""
+    r, c = F.col("row"), F.col("col")
+    g = generated(spark).select("row", "col", (r * 4 * 65536 + c * 4 * 256 + (r + c) * 2).cast("int").alias("rgb"))
+    p = points(spark, sf_dir, 40, 50)
+    for x in (F.col("grid_row") * 4, F.col("grid_col") * 4, (F.col("grid_row") + F.col("grid_col")) * 2):
+        p = p.filter(F.abs(x % 1 - 0.5) > 0.01)
+    return interpolate.bilinear_rgb(p, g, Spec(40, 50)).select("point_id", "rgb")
+
+
+@query(f"""WITH {GEN_SQL} SELECT row, col, col / CAST(10 AS DOUBLE) - 2.5 AS x, row / CAST(10 AS DOUBLE) - 2 + CASE WHEN row = col THEN 0.25 ELSE 0 END AS y FROM g WHERE row = col""")
+def coordinate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = F.col("row"), F.col("col")
+    at = generated(spark).select("row", "col", (c / 10.0 - 2.5).alias("x"), (r / 10.0 - 2.0 + F.when(r == c, 0.25).otherwise(0.0)).alias("y"))
+    return interpolate.off_grid(at, Spec(40, 50).cartesian_cells(-2.5, -2.0, 0.1, 0.1))
+
+
 _GRADIENT = {"zx": (_w("v"), _w1("u", 0.1)), "zy": (_w1("v", 0.1), _w("u"))}
 
 
@@ -598,6 +619,18 @@ def inspect_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.damaged(codecs.shortest(packed)).agg(F.count("*").alias("damaged"))
 
 
+@query()
+def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed, _ = _packed(spark, sf_dir)
+    return codecs.byte_entropy(packed.filter("codec <> 'raw'"))
+
+
+@query()
+def float_plane_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = embed(spark, sf_dir)
+    return codecs.plane_sizes(cells.tile_form(e, spec_of(e, _R, _C, (Element("z", "float"),)), "z"), (_R, _C))
+
+
 # -- metadata and summaries ---------------------------------------------------------------
 
 
