@@ -53,6 +53,8 @@ def from_wav(stored: bytes) -> bytes:
 def peaks(samples: bytes) -> np.ndarray:
     """frames x bands: the strongest bin of each band, the lowest of equal ones, 0 in a silent band."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
+    if len(x) < FRAME + AHEAD * HOP:  # too short for a pair of frames: repeated
+        x = np.resize(x, FRAME + AHEAD * HOP)
     frames = max(1, -(-(len(x) - FRAME) // HOP) + 1)
     x = np.pad(x, (0, max(0, FRAME + (frames - 1) * HOP - len(x))))
     windows = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
@@ -61,7 +63,7 @@ def peaks(samples: bytes) -> np.ndarray:
         power = np.abs(np.fft.rfft(windows[at : at + BLOCK] * _HANN, axis=1))
         for b, (low, high) in enumerate(BANDS):
             band = power[:, low:high]
-            found[at : at + BLOCK, b] = np.where(band.max(1) > 0, band.argmax(1) + low, 0)
+            found[at : at + BLOCK, b] = np.where(band.max(1) > 1e-2, band.argmax(1) + low, 0)
     return found
 
 
