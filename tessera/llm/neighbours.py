@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 #: Edges of a centroid in the graph, centroids kept while searching it, and steps.
-EDGES, BEAM = 24, 128
+EDGES, BEAM = 24, 48
 #: Stored rows, and queries, that meet in one task at once.
 CHUNK, QUERY_CHUNK = 20_000, 2_000
 
@@ -64,7 +64,7 @@ class Graph:
     def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row of x the nearest `want` centroids found, nearest first, and squared distances."""
         rows, k = len(x), len(self.centroids)
-        beam = min(k, max(BEAM, 2 * want))
+        beam = min(k, max(BEAM, want * 3 // 2))
         far = np.full((rows, k), np.inf)
         opened = np.zeros((rows, k), bool)
         square = _norms(x)
