@@ -58,53 +58,50 @@ def _table(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table, place[points]
 
 
-def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """texts x 2**BITS presence matrix, and the square roots of its row sums."""
-    x, size = np.zeros((len(texts), 1 << BITS), np.float32), np.ones(len(texts), np.float32)
-    for i, text in enumerate(texts):
-        at = grams(text)
-        x[i, at] = 1
-        size[i] = max(1, len(at)) ** 0.5
-    return x, size
-
-
 class Model:
-    """labels, and matrices that take a presence row to one score for each label."""
+    """labels, and matrices that take a presence row to one score for each label.
+
+    Only n-grams of landmarks have a column, and texts are taken ROWS at a time, so memory
+    is bounded by the landmarks' n-grams, however many texts are fitted.
+    """
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int, ridge: float):
         self.labels = sorted(set(langs))
         if not self.labels:
             return
-        x, size = presence(texts)
-        x /= size[:, None]
         # The same number of landmarks for each language, in turn.
         rank: dict[str, int] = {}
         turn = [(rank.setdefault(g, 0), rank.__setitem__(g, rank[g] + 1))[0] for g in langs]
-        chosen = np.lexsort((np.arange(len(langs)), turn))[:landmarks]
-        marks = x[chosen]
-        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+        chosen = [grams(texts[i]) for i in np.lexsort((np.arange(len(langs)), turn))[:landmarks]]
+        used = np.unique(np.concatenate(chosen))
+        self.used = np.full(1 << BITS, -1, np.int32)
+        self.used[used] = np.arange(len(used))
+        self.marks = np.zeros((len(used), len(chosen)), np.float32)
+        for j, g in enumerate(chosen):
+            self.marks[self.used[g], j] = max(1, len(g)) ** -0.5
+        values, vectors = np.linalg.eigh((self.marks.T @ self.marks).astype(np.float64))
         good = values > 1e-6 * values.max()
         root = vectors[:, good] / np.sqrt(values[good])
-        phi = (x @ marks.T).astype(np.float64) @ root
-        phi = np.c_[phi, np.ones(len(phi))]
+        kernel = np.concatenate([self.kernel(texts[at : at + ROWS]) for at in range(0, len(texts), ROWS)])
+        phi = np.c_[kernel.astype(np.float64) @ root, np.ones(len(kernel))]
         y = np.array([[float(g == label) for label in self.labels] for g in langs])
         share = y.sum(0) / len(y)  # languages weigh the same, whatever their number of texts
         weight = (y / (share * len(self.labels))).sum(1)
         w = np.linalg.solve((phi * weight[:, None]).T @ phi + ridge * np.eye(phi.shape[1]), (phi * weight[:, None]).T @ y)
-        used = np.flatnonzero(marks.any(0))
-        self.used = np.full(1 << BITS, -1, np.int32)
-        self.used[used] = np.arange(len(used))
-        self.marks = np.ascontiguousarray(marks[:, used].T)
         self.weights, self.bias = (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """texts x landmarks."""
         x, size = np.zeros((len(texts), self.marks.shape[0]), np.float32), np.ones((len(texts), 1), np.float32)
         for i, text in enumerate(texts):
             at = grams(text)
             size[i] = max(1, len(at)) ** 0.5
             at = self.used[at]
             x[i, at[at >= 0]] = 1
-        return (x @ self.marks / size) @ self.weights + self.bias
+        return x @ self.marks / size
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return self.kernel(texts) @ self.weights + self.bias
 
 
 def training_sample(docs: DataFrame, held_out: Column, per_language: int, languages: int) -> list:
@@ -135,7 +132,7 @@ def _score(shared):
     return run
 
 
-def identify(docs: DataFrame, per_language: int = 400, languages: int = 64, landmarks: int = 256, ridge: float = 1e-2) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 200, languages: int = 64, landmarks: int = 256, ridge: float = 1e-2) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of docs.
 
     Rows whose crc32 of the doc_id as text leaves 1 modulo 3 are held out; the others with
