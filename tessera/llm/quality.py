@@ -198,7 +198,7 @@ class Judge:
             return F.lit(float("inf"))
         cut = F.lit(self.overall)
         if self.by_lang:
-            cut = F.coalesce(F.create_map(*(F.lit(x) for pair in self.by_lang.items() for x in pair))[lang], cut)
+            cut = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in self.by_lang.items() for x in pair)), lang), cut)
         return cut + self.slack + F.lit(self.room) / F.sqrt(F.greatest(size, F.lit(1)))
 
 

@@ -73,10 +73,11 @@ def test_quality_rejects_junk_only(spark):
     rows = [(i, t, g, s, n) for i, (_, t, g, s, n) in enumerate(r for r in data.rows(n=300) if r[1] and r[2])]
     trusted = spark.createDataFrame([(i,) for i in range(0, len(rows), 2)], "doc_id long")
     junk = [(5000 + i, "QX%%% ZZ### " * 30 + str(i), "en", "s", 0) for i in range(5)]
-    docs = data.frame(spark, only=rows + junk + [(6000, None, "en", None, None), (6001, "", None, None, None)], clashing=True)
+    docs = data.frame(spark, only=rows + junk + [(6000, None, "en", None, None), (6001, "", None, None, None), (6002, "the and ing", "xx", "s", 0)], clashing=True)
     found = {r["doc_id"]: r for r in got(quality.judge(docs, trusted))}
     assert all(found[d]["rejected"] for d, *_ in junk)
     assert sum(found[d]["rejected"] for d, t, *_ in rows) <= 0.02 * len(rows)
+    assert not found[6002]["rejected"]  # of a language that nothing is trusted of
     assert not found[6000]["rejected"] and found[6000]["perplexity"] == 1
     kept = quality.keep(docs, trusted)
     assert kept.columns == docs.columns and kept.count() == sum(not r["rejected"] for r in found.values())
