@@ -13,8 +13,9 @@ compared with the list's smallest one only (a star); what links is one component
 two sets of one component are never compared again.  After these rounds every pair of
 different components that shares a prefix element and passes the length and positional
 filters is compared, each once, so no link between components is lost: a linked pair's
-first common element passes them.  Each comparison begins with a suffix filter: the sets'
-counts in hash ranges bound their difference.
+first common element passes them.  Before two sets meet, a suffix filter drops what can't
+link: the sets' counts in RANGES ranges of hashes bound their difference from below, and
+only these counts are shuffled for it.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ FREQUENCIES, WANTED = 1 << 20, 1 << 22
 BROADCAST_KEYS = 500_000
 #: Shingles counted at once, rounds of comparison with the smallest set, sets compared with one set in one task,
 #: lists that are compared side by side, and rows of a longer one compared at once.
-BLOCK, STARS, FAN, SIDE, ROWS = 4_000_000, 3, 2_000, 32, 2_048
+BLOCK, STARS, FAN, SIDE, ROWS = 2_000_000, 3, 2_000, 32, 2_048
 #: Words whose hash a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 300_000
+#: Ranges of hashes whose counts stand for a set in the suffix filter; bytes of text hashed at once.
+RANGES, TEXT = 64, 4 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,7 +126,7 @@ def _scan(width: int):
             np.add.at(seen, _cell(h[at]), n)
             block.clear()
 
-        for batch in in_batches(batches):
+        for batch in in_batches(batches, TEXT):
             sets = batch_shingles(batch.column(1).to_pylist(), width, words)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=["doc_id", "text_key", "set_id", "n", "cell"])
             block.extend(sets)
@@ -155,7 +158,7 @@ def rare_first(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
 def _prefixes(shared, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done, classes = _Words(), set(), shared.value
-        for batch in in_batches(batches):
+        for batch in in_batches(batches, TEXT):
             tokens, ids, places = [], [], []
             for s in batch_shingles(batch.column(0).to_pylist(), width, words):
                 if not len(s) or (own := set_id(s)) in done:
@@ -294,21 +297,44 @@ def _crossings(percent: int):
     return run
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Counts of a sorted set by hash range; a count beyond 65535 is that, which only weakens the bound."""
+    edges = np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
+    return np.minimum(np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])), 65535).astype(np.uint16)
+
+
 def _sets(shared, width: int):
     """The shingles of the sets that the table of wanted ones may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done, wanted = _Words(), set(), np.unpackbits(np.frombuffer(shared.value, np.uint8))
-        for batch in in_batches(batches):
-            ids, sets = [], []
+        for batch in in_batches(batches, TEXT):
+            ids, sizes, counts, sets = [], [], [], []
             for s in batch_shingles(batch.column(0).to_pylist(), width, words):
                 if len(s) and wanted[(own := set_id(s)) % WANTED] and own not in done:
                     if len(done) >= REMEMBERED:
                         done.clear()
                     done.add(own)
                     ids.append(own)
+                    sizes.append(len(s))
+                    counts.append(signature(s).tobytes())
                     sets.append(s.tobytes())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "elements"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(sets, pa.binary())], names=["set_id", "n", "counts", "elements"])
+
+    return run
+
+
+def _near(percent: int):
+    """Suffix filter: pairs (x, y, n, m, counts of x, counts of y) whose counts differ by no more than linked sets do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, m = (b.column(c).to_numpy() for c in ("n", "m"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, RANGES).astype(np.int32) for c in ("of_x", "of_y"))
+            ok = np.abs(x - y).sum(1) <= n + m - 2 * required(n, m, percent)
+            yield b.select(["x", "y"]).filter(pa.array(ok))
 
     return run
 
@@ -318,23 +344,18 @@ def _linked(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, name = None, None
-        ranges = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
         for batch in batches:
             found_x, found_y = [], []
             for y, x, data in zip(batch.column("y").to_pylist(), batch.column("x").to_pylist(), batch.column("elements"), strict=True):
                 s = np.frombuffer(data.as_buffer(), np.uint64)
                 if x is None:
-                    own, name, counts = s, y, np.diff(np.r_[0, np.searchsorted(s, ranges), len(s)])
+                    own, name = s.copy(), y
                     continue
                 if name != y:
                     raise RuntimeError("a compared set is missing")
-                need = int(required(np.int64(len(s)), np.int64(len(own)), percent))
-                differ = np.abs(np.diff(np.r_[0, np.searchsorted(s, ranges), len(s)]) - counts).sum()
-                if differ > len(s) + len(own) - 2 * need:
-                    continue
                 at = np.searchsorted(own, s)
                 at[at == len(own)] = 0
-                if int((own[at] == s).sum()) >= need:
+                if int((own[at] == s).sum()) >= int(required(np.int64(len(s)), np.int64(len(own)), percent)):
                     found_x.append(x)
                     found_y.append(y)
             yield pa.record_batch([pa.array(found_x, pa.int64()), pa.array(found_y, pa.int64())], names=["a", "b"])
@@ -364,15 +385,19 @@ class _Join:
         cells = ids.select(F.pmod("set_id", F.lit(WANTED)).alias("cell")).distinct().toArrow()  # at most WANTED rows
         marks[cells["cell"].to_numpy()] = 1
         shared = self.spark.sparkContext.broadcast(np.packbits(marks).tobytes())
-        more = self.own.select("text").mapInArrow(_sets(shared, self.width), "set_id long, elements binary").join(ids, "set_id", "left_semi").groupBy("set_id").agg(F.first("elements").alias("elements"))
+        more = self.own.select("text").mapInArrow(_sets(shared, self.width), "set_id long, n long, counts binary, elements binary").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
         more = materialize(more)
         self.sets = more if self.sets is None else self.sets.unionByName(more)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """pairs: x, y, each once -> a, b: those that link."""
+        small = self.sets.select("set_id", "n", "counts")
+        pairs = pairs.join(small.select(F.col("set_id").alias("x"), "n", F.col("counts").alias("of_x")), "x")
+        pairs = pairs.join(small.select(F.col("set_id").alias("y"), F.col("n").alias("m"), F.col("counts").alias("of_y")), "y")
+        pairs = materialize(pairs.select("x", "y", "n", "m", "of_x", "of_y").mapInArrow(_near(self.percent), "x long, y long"))
         fan = pairs.groupBy("y").agg(F.ceil(F.count("*") / FAN).alias("parts"))
-        x = pairs.join(fan, "y").select("y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), "x").join(self.sets.withColumnRenamed("set_id", "x"), "x").select("y", "part", "x", "elements")
-        y = fan.join(self.sets.withColumnRenamed("set_id", "y"), "y").select("y", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.lit(None).cast("long").alias("x"), "elements")
+        x = pairs.join(fan, "y").select("y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), "x").join(self.sets.select(F.col("set_id").alias("x"), "elements"), "x").select("y", "part", "x", "elements")
+        y = fan.join(self.sets.select(F.col("set_id").alias("y"), "elements"), "y").select("y", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.lit(None).cast("long").alias("x"), "elements")
         met = y.unionByName(x).repartition("y", "part").sortWithinPartitions("y", "part", F.col("x").asc_nulls_first())
         return materialize(met.mapInArrow(_linked(self.percent), "a long, b long"))
 
