@@ -39,7 +39,7 @@ def wrapped_sql(x: str) -> str:
 
 # -- addresses and reads ------------------------------------------------------------------
 
-_TILES = "50 AS tr, 20 AS tc, CAST(ceil((max(col) + 1) / 20.0) AS INTEGER) AS across"
+_TILES = "least(50, max(row) + 1) AS tr, least(20, max(col) + 1) AS tc, CAST(ceil((max(col) + 1) / CAST(least(20, max(col) + 1) AS DOUBLE)) AS INTEGER) AS across"
 
 
 @query(f"""WITH {ITEMS_SQL}, d AS (SELECT {_TILES} FROM i)
