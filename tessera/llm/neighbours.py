@@ -4,8 +4,9 @@ Equal vectors are one point with the ids of its first copies.  A point is stored
 lists of its nearest centroid and, if it is near a boundary, of further centroids about as
 near.  Centroids come from balanced k-means on a bounded sample; every point is indexed.
 Centroids are found through a navigable graph held in memory (there are at most
-`most_lists`).  A query visits the lists whose centroid is at most `ratio` times as far as
-its nearest one.  A list is cut into chunks of bounded size, and so are its queries; each
+`most_lists`).  A query compares itself with every centroid and visits the nearest lists, a
+`share` of all but `least` at least, so that recall doesn't fall as lists become more, and
+any other whose centroid is at most `ratio` times as far as its nearest one.  A list is cut into chunks of bounded size, and so are its queries; each
 pair of chunks is one matrix product, from which only each query's best rows leave.
 
 Inner products become distances by one more coordinate: with M the largest norm, x is
@@ -14,6 +15,7 @@ extended by sqrt(M^2 - |x|^2) and a query by 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ from tessera.llm.common import materialize
 
 #: Edges of a centroid in the graph, centroids kept while searching it, and steps.
 EDGES, BEAM = 24, 48
+#: Rows that leave the search for lists at once.
+OUT = 65_536
 #: Stored rows, and queries, that meet in one task at once.
 CHUNK, QUERY_CHUNK = 20_000, 2_000
 
@@ -85,13 +89,23 @@ class Graph:
         order = np.argsort(far, 1, kind="stable")[:, :want]
         return order, np.take_along_axis(far, order, 1)
 
+    def visited(self, x: np.ndarray, visits: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row of x, centroid) of the nearest `visits` centroids, compared with all, and of those within `ratio`."""
+        far = np.maximum(0, _norms(x)[:, None] + self.square - 2 * x @ self.centroids.T)
+        last = np.partition(far, visits - 1, 1)[:, visits - 1]
+        return np.nonzero(far <= np.maximum(last, far.min(1) * ratio**2 + 1e-12)[:, None])
+
+
+def visits_of(lists: int, share: float, least: int) -> int:
+    return min(lists, max(least, math.ceil(share * lists)))
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _to_lists(shared, most: int, least: int, ratio: float, dim: int, query: bool):
-    """A row for each list that a row (class_id, vector, ...) is stored in, or visits."""
+def _to_lists(shared, copies: int, visits: int, ratio: float, dim: int):
+    """A row for each list that a row (class_id, vector, ...) is stored in, at most `copies`, or (if 0) visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, largest = shared.value
@@ -99,11 +113,16 @@ def _to_lists(shared, most: int, least: int, ratio: float, dim: int, query: bool
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 x = _matrix(batch.column(1), dim)
-                last = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, largest - _norms(x)))
-                found, far = graph.search(np.c_[x, last], min(most, len(graph.centroids)))
-                keep = np.isfinite(far) & ((far <= far[:, :1] * ratio**2 + 1e-12) | (np.arange(far.shape[1]) < least))
-                r, c = np.nonzero(keep)
-                yield pa.record_batch([pa.array(found[r, c], pa.int32()), *(col.take(pa.array(r, pa.int64())) for col in batch.columns)], names=["list", *batch.schema.names])
+                if copies:
+                    last = np.sqrt(np.maximum(0, largest - _norms(x)))
+                    found, far = graph.search(np.c_[x, last], min(copies, len(graph.centroids)))
+                    r, c = np.nonzero(np.isfinite(far) & (far <= far[:, :1] * ratio**2 + 1e-12))
+                    c = found[r, c]
+                else:
+                    r, c = graph.visited(np.c_[x, np.zeros(len(x))], visits, ratio)
+                for first in range(0, len(r), OUT):
+                    rows = pa.array(r[first : first + OUT], pa.int64())
+                    yield pa.record_batch([pa.array(c[first : first + OUT], pa.int32()), *(col.take(rows) for col in batch.columns)], names=["list", *batch.schema.names])
 
     return run
 
@@ -150,7 +169,7 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
 
 def search(
     vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "vec_id", column: str = "embedding",
-    sample: int = 20_000, per_list: int = 200, most_lists: int = 4096, replicas: int = 4, spread: float = 1.3, least: int = 48, most: int = 96, ratio: float = 1.12,
+    sample: int = 20_000, per_list: int = 200, most_lists: int = 4096, replicas: int = 4, spread: float = 1.3, least: int = 48, share: float = 0.12, ratio: float = 1.12,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, by inner product.
 
@@ -176,10 +195,10 @@ def search(
     x = np.c_[x, np.sqrt(np.maximum(0, largest - _norms(x)))]
     graph = Graph(balanced_centroids(x, int(min(len(x), most_lists, max(1, stats.n // per_list)))))
     shared = spark.sparkContext.broadcast((graph, largest))
-    stored = materialize(points.mapInArrow(_to_lists(shared, replicas, 1, spread, dim, False), "list int, class_id long, vector array<double>, ids array<long>"))
+    stored = materialize(points.mapInArrow(_to_lists(shared, replicas, 0, spread, dim), "list int, class_id long, vector array<double>, ids array<long>"))
     asked = materialize(rows.filter(F.col("vec_id") % every == 0).join(points.select("vector", "class_id"), "vector").select("vec_id", "class_id"))
     asking = points.join(asked.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "vector")
-    visits = materialize(asking.mapInArrow(_to_lists(shared, most, least, ratio, dim, True), "list int, class_id long, vector array<double>"))
+    visits = materialize(asking.mapInArrow(_to_lists(shared, 0, visits_of(len(graph.centroids), share, least), ratio, dim), "list int, class_id long, vector array<double>"))
 
     def chunks(of: DataFrame, size: int, name: str) -> DataFrame:  # at most `most_lists` rows
         return F.broadcast(of.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name)))

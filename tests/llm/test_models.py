@@ -119,6 +119,18 @@ def test_neighbours(spark):
     assert [v for _, v, _ in found[120]] == [v for v in range(100, 121) if v != 120]
 
 
+def test_recall_with_many_lists(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(16_000, 32))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.search(df, every=160, per_list=8, sample=8_000).collect():  # 2,000 lists
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    exact = brute(np.arange(16_000), x, 160, 20)
+    hits = sum(len(found[q] & {v for v, _ in near}) for q, near in exact.items())
+    assert hits >= 0.9 * 20 * len(exact)
+
+
 def test_neighbours_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (20, [2.0, 1.0]), (21, [0.0, -0.0])], "vec_id long, embedding array<double>")
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.search(df).collect()) == [(0, 1, 20, 4.0), (20, 1, 0, 4.0)]
