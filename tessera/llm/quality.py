@@ -1,21 +1,21 @@
 """Quality by an interpolated modified Kneser-Ney model of character n-grams.
 
-The model is trained on trusted texts.  Characters are folded to a small alphabet (the
-most frequent folded characters of the trusted texts, digits as one symbol, capitals
-inside a word as one, everything else as one), so that an n-gram is a number below
-alphabet**order, which bounds every table whatever the corpus.
+The model is trained on trusted texts.  Its symbols are the characters of those texts as
+they are, none folded; one that no trusted text holds is OTHER.  An n-gram is its context,
+a number below symbols**(order - 1), and its last symbol.
 
 Counts are summed by n-gram over the whole trusted corpus, sharded by n-gram; those of
 lower orders count distinct continuations.  Each order's counts are joined with the
 totals of their contexts, sharded by context, to give discounted probabilities and
-back-off weights.  The finished tables have that proven bound, so scoring takes them to
-the documents: one scan, no shuffle of text.  A document is rejected if its perplexity is
-above a quantile of the trusted documents of its language, with room for short texts.
+back-off weights, which stay in the shared folder.  Up to `BROADCAST_GRAMS` of them are
+taken to the documents: one scan, no shuffle of text.  Beyond, the documents' distinct
+n-grams are joined to them in shards, with the same results.  A document is rejected if
+its perplexity is above a quantile of the trusted documents of its language, with room for
+short texts.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,99 +23,120 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, pick
+from tessera.llm.common import in_batches, materialize, pick
 
 ORDER = 4
-#: Symbols that stand for no one character: start of text, other, capital inside a word, digit.
-START, OTHER, CAPITAL, DIGIT, FIRST = 0, 1, 2, 3, 4
+#: Symbols that stand for no one character: start of text, other.
+START, OTHER, FIRST = 0, 1, 2
 #: Trusted rows up to which their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
-
-
-@functools.cache
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each code point of the first plane: folded code point, is a capital, is a letter."""
-    chars = [chr(c) for c in range(0x10000)]
-    folded = np.array([32 if c.isspace() else ord(low) if len(low := c.lower()) == 1 and ord(low) < 0x10000 else ord(c) for c in chars], np.int64)
-    folded[[i for i, c in enumerate(chars) if c.isdigit()]] = ord("0")
-    return folded, np.array([c.isupper() for c in chars]), np.array([c.isalpha() for c in chars])
+#: N-grams of all orders up to which the model is broadcast; beyond, it is joined by shuffle.
+BROADCAST_GRAMS = 2_000_000
+#: Bytes of text counted or scored at once.
+TEXT = 4 << 20
 
 
 def _points(text: str) -> np.ndarray:
-    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF).astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
 def symbols(points: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """points: code points of one text; table: symbol of each folded code point."""
-    folded, upper, letter = _classes()
-    out = table[folded[points]]
-    if len(points) > 1:
-        inside = upper[points[1:]] & letter[points[:-1]]
-        out[1:][inside] = CAPITAL
-    return out
+    """points: code points of one text; table: symbol of each code point."""
+    return table[points]
 
 
 def symbol_table(alphabet: list[str]) -> np.ndarray:
-    table = np.full(0x10000, OTHER, np.int64)
-    for i, c in enumerate(alphabet):
-        table[ord(c)] = FIRST + i
-    table[ord("0")] = DIGIT
+    table = np.full(0x110000, OTHER, np.int64)
+    table[[ord(c) for c in alphabet]] = FIRST + np.arange(len(alphabet))
     return table
 
 
+def ngrams(text: str, table: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and last symbol of the n-gram that ends at each character."""
+    s = np.r_[np.full(ORDER - 1, START, np.int64), symbols(_points(text), table)]
+    n = len(s) - ORDER + 1
+    context = s[:n].copy()
+    for k in range(1, ORDER - 1):
+        context *= base
+        context += s[k : n + k]
+    return context, s[ORDER - 1 :]
+
+
 def ngram_codes(text: str, table: np.ndarray, base: int) -> np.ndarray:
-    """The code of the n-gram that ends at each character."""
-    s = np.r_[np.zeros(ORDER - 1, np.int64), symbols(_points(text), table)]
-    code = s[: len(s) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        code *= base
-        code += s[k : len(s) - ORDER + 1 + k]
-    return code
+    """The number of the n-gram that ends at each character, for a small alphabet."""
+    context, last = ngrams(text, table, base)
+    return context * base + last
+
+
+def _distinct(context: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams as context and last symbol, and the place of each given one among them."""
+    if base**ORDER < 1 << 63:
+        code, at = np.unique(context * base + last, return_inverse=True)
+        return code // base, code % base, at
+    known, at = np.unique(context, return_inverse=True)
+    code, at = np.unique(at * base + last, return_inverse=True)
+    return known[code // base], code % base, at
 
 
 def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(0x10000, np.int64)
-    for batch in batches:
-        for text in batch.column(0):
-            seen += np.bincount(_classes()[0][_points(text.as_py())], minlength=0x10000)
+    seen = np.zeros(0x110000, np.int64)
+    for batch in in_batches(batches, TEXT):
+        seen += np.bincount(_points("".join(batch.column(0).to_pylist())), minlength=len(seen))
     at = np.flatnonzero(seen)
     yield pa.record_batch([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["point", "n"])
 
 
-def _ngrams(shared, base: int):
+def _count(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(base**ORDER, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                codes = ngram_codes(text.as_py(), shared.value, base)
-                if len(codes) > len(seen) // 64:
-                    seen += np.bincount(codes, minlength=len(seen))
-                else:
-                    np.add.at(seen, codes, 1)
-        at = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["code", "n"])
+        alphabet, base = shared.value
+        table = symbol_table(alphabet)
+        for batch in in_batches(batches, TEXT):
+            parts = [ngrams(text, table, base) for text in batch.column(0).to_pylist()]
+            context, last, at = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)), base)
+            yield pa.record_batch([pa.array(context, pa.int64()), pa.array(last, pa.int64()), pa.array(np.bincount(at, minlength=len(last)), pa.int64())], names=["context", "last", "n"])
 
     return run
 
 
+class Grams:
+    """Discounted probabilities and back-off weights of each order, as sorted arrays."""
+
+    def __init__(self, alphabet: list[str], base: int, levels: list[pa.Table]):
+        self.alphabet, self.base, self.orders = alphabet, base, []
+        for t in levels:
+            context, first, at = np.unique(t["context"].to_numpy(), return_index=True, return_inverse=True)
+            code = at * base + t["last"].to_numpy()
+            order = np.argsort(code)
+            self.orders.append((context, t["back_off"].to_numpy()[first], code[order], t["p"].to_numpy()[order]))
+
+    def log_probabilities(self, context: np.ndarray, last: np.ndarray) -> np.ndarray:
+        p = np.full(len(context), 1 / self.base)
+        for k, (contexts, back_off, codes, discounted) in enumerate(self.orders):
+            if not len(codes):
+                continue
+            own = context % self.base**k
+            at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
+            known = contexts[at] == own
+            code = at * self.base + last
+            found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            p = np.where(known, back_off[at], 1) * p + np.where(known & (codes[found] == code), discounted[found], 0)
+        return np.log(p)
+
+
 class Model:
-    """Discounted probabilities and back-off weights of each order, as sorted sparse tables."""
+    """levels: for each order a table of context, last, p, back_off in the shared folder; size: rows of all."""
 
-    def __init__(self, alphabet: list[str], base: int):
-        self.alphabet, self.base = alphabet, base
-        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, alphabet: list[str], base: int, levels: list[DataFrame]):
+        self.alphabet, self.base, self.levels = alphabet, base, levels
+        self.size = sum(level.count() for level in levels)
+
+    def grams(self) -> Grams:
+        return Grams(self.alphabet, self.base, [level.toArrow() for level in self.levels])
 
     def log_probabilities(self) -> np.ndarray:
-        """One number for each n-gram there can be: base**ORDER cells of 4 bytes."""
-        p = np.full(1, 1 / self.base)
-        for k, (codes, discounted, contexts, back_off) in enumerate(self.orders):
-            weight = np.ones(self.base**k)
-            weight[contexts] = back_off
-            lower = p if k else np.full(self.base, 1 / self.base)
-            # The history of order k less its first symbol picks the row of the order below.
-            p = (weight.reshape(-1, max(1, len(lower) // self.base))[:, :, None] * lower.reshape(1, -1, self.base)).reshape(-1)
-            p[codes] += discounted
-        return np.log(p).astype(np.float32)
+        """One number for each n-gram there can be, for a small alphabet."""
+        code = np.arange(self.base**ORDER)
+        return self.grams().log_probabilities(code // self.base, code % self.base).astype(np.float32)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -127,46 +148,76 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(found, (1, 2, 3), strict=True))
 
 
-def train(texts: DataFrame, alphabet: int = 44) -> Model:
-    """texts: one column of trusted texts, none null."""
+def train(texts: DataFrame, alphabet: int | None = None) -> Model:
+    """texts: one column of trusted texts, none null; alphabet: the number of characters told apart, by default all."""
     spark = texts.sparkSession
-    folded = texts.mapInArrow(_characters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).filter(F.col("point") != ord("0"))
-    chosen = [chr(r.point) for r in folded.orderBy(F.desc("n"), "point").limit(alphabet).collect()]
-    base = FIRST + alphabet
-    model = Model(chosen, base)
-    table = spark.sparkContext.broadcast(symbol_table(chosen))
-    counts = materialize(texts.mapInArrow(_ngrams(table, base), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    texts = texts.toDF("text")
+    seen = texts.mapInArrow(_characters, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).toArrow()  # at most all of Unicode
+    order = np.lexsort((seen["point"].to_numpy(), -seen["n"].to_numpy()))[:alphabet]
+    chosen = [chr(c) for c in seen["point"].to_numpy()[order]]
+    base = FIRST + len(chosen)
+    shared = spark.sparkContext.broadcast((chosen, base))
+    counts = materialize(texts.mapInArrow(_count(shared), "context long, last long, n long").groupBy("context", "last").agg(F.sum("n").alias("n")))
     levels = [counts]
-    for k in range(ORDER - 1, 0, -1):  # the number of symbols seen before each shorter n-gram
-        levels.insert(0, levels[0].groupBy((F.col("code") % base**k).alias("code")).agg(F.count("*").alias("n")))
+    for k in range(ORDER - 2, -1, -1):  # the number of symbols seen before each shorter n-gram
+        levels.insert(0, levels[0].groupBy((F.col("context") % F.lit(base**k)).cast("long").alias("context"), "last").agg(F.count("*").alias("n")))
+    done = []
     for level in levels:
         n = {r.n: r["count"] for r in level.filter("n <= 4").groupBy("n").count().collect()}
         one, two, more = discounts(*(n.get(i, 0) for i in (1, 2, 3, 4)))
-        less = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
-        rows = level.withColumn("context", F.expr(f"code div {base}")).withColumn("less", less)
+        rows = level.withColumn("less", F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more))
         totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("less").alias("freed"))
-        joined = rows.join(totals, "context").select("code", "context", ((F.col("n") - F.col("less")) / F.col("total")).alias("p"), (F.col("freed") / F.col("total")).alias("back_off"))
-        t = joined.toArrow()  # at most base**ORDER rows
-        contexts, at = np.unique(t["context"].to_numpy(), return_index=True)
-        model.orders.append((t["code"].to_numpy(), t["p"].to_numpy(), contexts, t["back_off"].to_numpy()[at]))
-    return model
+        done.append(materialize(rows.join(totals, "context").select("context", "last", ((F.col("n") - F.col("less")) / F.col("total")).alias("p"), (F.col("freed") / F.col("total")).alias("back_off"))))
+    return Model(chosen, base, done)
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        table, logs = symbol_table(model.alphabet), model.log_probabilities()
-        for batch in batches:
-            loss, size = [], []
-            for text in batch.column(batch.num_columns - 1):
-                codes = ngram_codes(text.as_py() or "", table, model.base)
-                loss.append(-float(logs[codes].sum(dtype=np.float64)))
-                size.append(len(codes))
+        grams = shared.value
+        table = symbol_table(grams.alphabet)
+        for batch in in_batches(batches, TEXT, "text"):
+            parts = [ngrams(text or "", table, grams.base) for text in batch.column("text").to_pylist()]
+            size = np.array([len(last) for _, last in parts], np.int64)
+            context, last, at = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)), grams.base)
+            logs = grams.log_probabilities(context, last)[at]
+            loss = [-float(x.sum()) for x in np.split(logs, np.cumsum(size)[:-1])]
             yield pa.record_batch([*batch.columns[:-1], pa.array(loss, pa.float64()), pa.array(size, pa.int64())], names=[*batch.schema.names[:-1], "loss", "size"])
 
     return run
 
 
+def _held(shared):
+    """The distinct n-grams of each text, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabet, base = shared.value
+        table = symbol_table(alphabet)
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                context, last, at = _distinct(*ngrams(text, table, base), base)
+                yield pa.record_batch([pa.array(np.full(len(last), key), pa.int64()), pa.array(context, pa.int64()), pa.array(last, pa.int64()), pa.array(np.bincount(at, minlength=len(last)), pa.int64())], names=["key", "context", "last", "n"])
+
+    return run
+
+
+def _joined(docs: DataFrame, model: Model) -> DataFrame:
+    """score() for a model of any size: n-grams meet it in shards, texts are known by a 64-bit hash."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.alphabet, model.base))
+    own = docs.withColumn("key", F.xxhash64("text"))
+    held = materialize(own.filter(F.length("text") > 0).select("key", "text").mapInArrow(_held(shared), "key long, context long, last long, n long"))
+    p = held.select("context", "last").distinct().withColumn("q", F.lit(1 / model.base))
+    for k, level in enumerate(model.levels):
+        p = p.withColumn("own", (F.col("context") % F.lit(model.base**k)).cast("long"))
+        weights = level.groupBy(F.col("context").alias("own")).agg(F.first("back_off").alias("weight"))
+        found = level.select(F.col("context").alias("own"), "last", "p")
+        p = p.join(weights, "own", "left").join(found, ["own", "last"], "left").select("context", "last", (F.coalesce("weight", F.lit(1.0)) * F.col("q") + F.coalesce("p", F.lit(0.0))).alias("q"))
+    # Repeated texts have the same mean, however many there are.
+    means = held.join(p, ["context", "last"]).groupBy("key").agg((-F.sum(F.col("n") * F.log("q")) / F.sum("n")).alias("mean"))
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    rows = own.join(means, "key", "left")
+    return rows.select(*docs.columns[:-1], F.coalesce(F.col("mean") * size, F.lit(0.0)).alias("loss"), size.alias("size"))
+
+
 def trusted_rows(docs: DataFrame, trusted: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows of docs whose doc_id is in trusted."""
     ids = trusted.select(F.col(column).cast("long").alias(column)).filter(F.col(column).isNotNull()).distinct()
@@ -176,7 +227,9 @@ def trusted_rows(docs: DataFrame, trusted: DataFrame, column: str = "doc_id") ->
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with its last column, a text, replaced by loss (nats) and size (characters)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if model.size > BROADCAST_GRAMS:
+        return _joined(docs, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.grams())
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
     return docs.mapInArrow(_score(shared), f"{kept}, loss double, size long")
 
@@ -184,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 class Judge:
     """A model and the limits of loss per character that its trusted texts give."""
 
-    def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 0.15, room: float = 3.0):
+    def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 0.0, room: float = 2.0):
         own = trusted_rows(pick(docs, doc_id="long", text="string", lang="string"), trusted).filter(F.length("text") > 0)
         self.model, self.slack, self.room = train(own.select("text")), slack, room
         good = materialize(score(own.select("lang", "text"), self.model).select("lang", (F.col("loss") / F.col("size")).alias("mean")))

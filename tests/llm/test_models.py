@@ -86,6 +86,33 @@ def test_quality_rejects_junk_only(spark):
     assert got(quality.judge(data.empty(spark), trusted)) == []
 
 
+def test_quality_tells_rare_scripts(spark):
+    rng = random.Random(8)
+    latin, russian = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéèêëàâäîïôöùûüçñßæœøå", k=rng.randint(2, 6))) for _ in range(80)], "это был день когда все люди вышли на улицу чтобы видеть солнце над рекой".split()
+    docs = [(i, " ".join(rng.choices(latin, k=200)), "la", "s", 0) for i in range(200)] + [(200 + i, " ".join(rng.choices(russian, k=60)), "ru", "s", 0) for i in range(20)]
+    junk = []
+    for i in range(10):
+        letters = [c for c in docs[200 + i][1] if c != " "]
+        rng.shuffle(letters)
+        left = iter(letters)
+        junk.append((1000 + i, "".join(c if c == " " else next(left) for c in docs[200 + i][1]), "ru", "s", 0))
+    shouted = [(2000, " ".join(rng.choices(latin, k=200)).upper(), "la", "s", 0)]
+    trusted = spark.createDataFrame([(d[0],) for d in docs], "doc_id long")
+    found = {r["doc_id"]: r["rejected"] for r in got(quality.judge(data.frame(spark, only=docs + junk + shouted), trusted))}
+    assert all(found[d] for d, *_ in junk + shouted) and sum(found[d] for d, *_ in docs) <= 3
+
+
+def test_quality_joined_equals_broadcast(spark, monkeypatch):
+    texts = [(i, r[1]) for i, r in enumerate(data.rows(n=40))] + [(900, "日本 ЖЩ unseen"), (901, None), (902, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = quality.train(docs.filter("doc_id % 2 = 0 and doc_id < 60 and text is not null").select("text"))
+    one = sorted(tuple(r) for r in quality.score(docs, model).collect())
+    monkeypatch.setattr(quality, "BROADCAST_GRAMS", 0)
+    other = sorted(tuple(r) for r in quality.score(docs, model).collect())
+    assert [(d, n) for d, _, n in one] == [(d, n) for d, _, n in other]
+    assert [x for _, x, _ in one] == pytest.approx([x for _, x, _ in other], rel=1e-9)
+
+
 def brute(ids, vectors, every, k):
     x = np.array(vectors)
     out = {}
