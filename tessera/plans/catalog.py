@@ -528,9 +528,15 @@ p AS (SELECT *, CASE WHEN c > 0 THEN lag(z) OVER (PARTITION BY tile_index, r ORD
 s AS (SELECT *, CAST(floor(avg(CASE WHEN z IS NOT NULL AND prior IS NULL THEN z END) OVER (PARTITION BY tile_index) + 0.5) AS INTEGER) AS seed FROM p)"""
 
 
+def _sparse_spec(i: DataFrame) -> Spec:
+    """Tiles of _R x _C that hold all cells: 64 across, as in the twin, or as many more as the columns need."""
+    m = i.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+    return Spec((m.r // _R + 1) * _R, max(64, m.c // _C + 1) * _C, _R, _C)
+
+
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
-    spec = Spec(_R * 100000, _C * 64, _R, _C)
+    spec = _sparse_spec(i)
     dense = cells.densify(spark, i, spec)
     return dense.select("tile_index", F.floor(F.col("index_in_tile") / _C).cast("int").alias("r"), (F.col("index_in_tile") % _C).cast("int").alias("c"), "z")
 

@@ -42,3 +42,15 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert flagship(spark, SF).count() > 0
+
+
+def test_null_predictors_beyond_64_tiles(spark, tmp_path):
+    cells = [(0, 1024, 7), (1, 1030, 9), (20, 0, 100), (21, 3, 50), (2_000_040, 5, 3)]
+    spark.createDataFrame(cells, "l_partkey long, l_suppkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    across = 65
+    index = {(r // 20 * across + c // 16, r % 20, c % 16): z for r, c, z in cells}
+    pred = QUERIES["pred_nulls"](spark, str(tmp_path)).collect()
+    assert len(pred) == len({(r.tile_index, r.r, r.c) for r in pred}) == 3 * 320
+    assert {r.tile_index: r.seed for r in pred} == {64: 8, across: 75, 100_002 * across: 3}
+    decoded = QUERIES["decode_nulls"](spark, str(tmp_path)).collect()
+    assert {(r.tile_index, r.r, r.c): r.z for r in decoded if r.z is not None} == index
