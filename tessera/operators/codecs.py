@@ -153,15 +153,18 @@ class CanonicalHuffman:
 
 
 class Huffman:
-    """Predicted bytes in a plain Huffman code: the variable-length integers' bytes are the symbols."""
+    """The best predictor's bytes in a plain Huffman code: the variable-length integers' bytes are the symbols."""
 
     takes = "int"
 
     def encode(self, z: np.ndarray) -> bytes | None:
-        p = choices(z)[-1]
-        seed, d = residuals(z, p)
-        body = np.frombuffer(bits.m32_encode(d.reshape(-1)[0 if p == "with_nulls" else 1 :]), np.int8).astype(np.int32)
-        return struct.pack("<Bi", TYPES[p], seed) + bits.huffman_encode(body)
+        best = None
+        for p in choices(z):
+            seed, d = residuals(z, p)
+            body = np.frombuffer(bits.m32_encode(d.reshape(-1)[0 if p == "with_nulls" else 1 :]), np.int8).astype(np.int32)
+            data = struct.pack("<Bi", TYPES[p], seed) + bits.huffman_encode(body)
+            best = data if best is None or len(data) < len(best) else best
+        return best
 
     def decode(self, data: bytes, shape: tuple[int, int]) -> np.ndarray:
         p, seed = struct.unpack_from("<Bi", data)

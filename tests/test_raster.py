@@ -172,6 +172,15 @@ def test_codecs_round_trip(shape):
     assert (codecs.FloatPlanes().decode(codecs.FloatPlanes().encode(f), shape).view(np.int32) == f.view(np.int32)).all()
 
 
+def test_huffman_takes_the_shortest_predictor():
+    rng = np.random.default_rng(4)
+    noise = rng.integers(-60, 60, (20, 16))
+    for z, best in ((noise, "differencing"), (noise.cumsum(1).cumsum(1), "linear"), (noise.cumsum(0).cumsum(1), "triangle")):
+        z = z.astype(np.int32)
+        data = codecs.Huffman().encode(z)
+        assert data[0] == predictors.TYPES[best] and (codecs.Huffman().decode(data, z.shape) == z).all()
+
+
 def test_competition_keeps_incompressible_tiles_raw(spark):
     rng = np.random.default_rng(0)
     smooth, noise = (np.arange(900) // 7).tolist(), rng.integers(INT_MIN + 1, 2**31, 900).tolist()
