@@ -30,6 +30,8 @@ ORDER = 4
 START, OTHER, FIRST = 0, 1, 2
 #: Trusted rows up to which their ids are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Languages up to which their limits are broadcast; beyond, they are joined by shuffle.
+BROADCAST_LANGS = 100_000
 #: N-grams of all orders up to which the model is broadcast; beyond, it is joined by shuffle.
 BROADCAST_GRAMS = 2_000_000
 #: Bytes of text counted or scored at once.
@@ -242,17 +244,17 @@ class Judge:
         self.model, self.slack, self.room = train(own.select("text")), slack, room
         good = materialize(score(own.select("lang", "text"), self.model).select("lang", (F.col("loss") / F.col("size")).alias("mean")))
         cut = F.percentile_approx("mean", F.lit(quantile), F.lit(10_000))
-        rows = good.filter("lang is not null").groupBy("lang").agg(cut.alias("cut"), F.count("*").alias("n"))
-        self.by_lang = {r.lang: r.cut for r in rows.orderBy(F.desc("n"), "lang").limit(1_000).collect()}
+        cuts = materialize(good.filter("lang is not null").groupBy("lang").agg(cut.alias("cut")))
+        self.by_lang = F.broadcast(cuts) if cuts.count() <= BROADCAST_LANGS else cuts
         self.overall = good.agg(cut.alias("cut")).first().cut
 
-    def limit(self, lang: Column, size: Column) -> Column:
+    def limited(self, scored: DataFrame) -> DataFrame:
+        """scored (lang, size, ...) with the limit of each row."""
         if self.overall is None:
-            return F.lit(float("inf"))
-        cut = F.lit(self.overall)
-        if self.by_lang:
-            cut = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in self.by_lang.items() for x in pair)), lang), cut)
-        return cut + self.slack + F.lit(self.room) / F.sqrt(F.greatest(size, F.lit(1)))
+            return scored.withColumn("limit", F.lit(float("inf")))
+        cut = F.coalesce("cut", F.lit(self.overall))
+        rows = scored.join(self.by_lang, "lang", "left")
+        return rows.select(*scored.columns, (cut + self.slack + F.lit(self.room) / F.sqrt(F.greatest("size", F.lit(1)))).alias("limit"))
 
 
 def _mean() -> Column:
@@ -271,8 +273,8 @@ def judge(docs: DataFrame, trusted: DataFrame, **settings: float) -> DataFrame:
     gives an empty result.
     """
     by = Judge(docs, trusted, **settings)
-    scored = score(pick(docs, doc_id="long", lang="string", text="string"), by.model)
-    limit = by.limit(F.col("lang"), F.col("size"))
+    scored = by.limited(score(pick(docs, doc_id="long", lang="string", text="string"), by.model))
+    limit = F.col("limit")
     return scored.select("doc_id", "lang", "size", F.exp(_mean()).alias("perplexity"), F.exp(limit).alias("threshold"), (_mean() > limit).alias("rejected"))
 
 
@@ -280,5 +282,5 @@ def keep(docs: DataFrame, trusted: DataFrame, **settings: float) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
     by = Judge(docs, trusted, **settings)
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    scored = score(own, by.model).filter(_mean() <= by.limit(F.col("lang"), F.col("size")))
+    scored = by.limited(score(own, by.model)).filter(_mean() <= F.col("limit"))
     return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

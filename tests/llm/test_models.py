@@ -102,6 +102,15 @@ def test_quality_tells_rare_scripts(spark):
     assert all(found[d] for d, *_ in junk + shouted) and sum(found[d] for d, *_ in docs) <= 3
 
 
+def test_quality_limits_of_many_languages(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(data.words(rng, "en", 5 + i % 7)), f"l{i:04}", "s", 0) for i in range(1100)]
+    trusted = spark.createDataFrame([(d[0],) for d in docs], "doc_id long")
+    found = quality.judge(data.frame(spark, only=docs), trusted).collect()  # one document a language: its own loss is the cut
+    assert len(found) == 1100
+    assert all(np.log(r.threshold) - 2 / np.sqrt(r["size"]) == pytest.approx(np.log(r.perplexity), abs=1e-9) for r in found)
+
+
 def test_quality_joined_equals_broadcast(spark, monkeypatch):
     texts = [(i, r[1]) for i, r in enumerate(data.rows(n=40))] + [(900, "日本 ЖЩ unseen"), (901, None), (902, "")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
