@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -43,15 +47,66 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def new_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which release() deletes later."""
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there.
 
     A lost executor doesn't lose it, and later stages read only the columns they use.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _of[path] = weakref.ref(out)
+    return out
+
+
+#: Paths written so far and not deleted, and the tables read from them.
+_paths: list[str] = []
+_of: dict[str, weakref.ref] = {}
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete paths that new_path() gave."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    for p in paths:
+        _paths.remove(p)
+        _of.pop(p, None)
+        path = path_of(p)
+        path.getFileSystem(conf).delete(path, True)
+    if paths:
+        # Spark deletes the files of shuffles that nothing refers to when the driver's garbage is collected.
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote for these tables; nothing may read them any more."""
+    if tables:
+        delete(tables[0].sparkSession, [p for p, t in list(_of.items()) if any(t() is x for x in tables)])
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete everything that materialize() wrote, except what the tables in `keep` read."""
+    used = [f for k in keep for f in k.inputFiles()]
+    delete(spark, [p for p in list(_paths) if not any(os.path.basename(p) in f for f in used)])
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> bytes:
+    """A table of `bits` bits with those of the values' cells set; the driver gets at most bits / 64 rows."""
+    cell = F.pmod(F.col(column), F.lit(bits))
+    words = df.select(cell.cast("long").alias("cell")).select(F.shiftright("cell", 6).alias("word"), F.expr("shiftleft(1L, cast(cell & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(bits // 64, np.int64)
+    marks[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return marks.tobytes()
 
 
 def in_batches(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:

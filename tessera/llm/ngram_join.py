@@ -8,14 +8,16 @@ right results; this one puts common passages behind what tells documents apart.
 Two sets with Jaccard similarity of at least t share an element of their prefixes, so
 only prefixes are shuffled.  Documents with equal sets are one set from then on.
 
-Groups of near copies aren't expanded into pairs.  In each posting list, sets are first
-compared with the list's smallest one only (a star); what links is one component, and
+Groups of near copies aren't expanded into pairs.  In each posting list, a set is first
+compared with a few pivots of its size class (stars); what links is one component, and
 two sets of one component are never compared again.  After these rounds every pair of
-different components that shares a prefix element and passes the length and positional
-filters is compared, each once, so no link between components is lost: a linked pair's
-first common element passes them.  Before two sets meet, a suffix filter drops what can't
-link: the sets' counts in RANGES ranges of hashes bound their difference from below, and
-only these counts are shuffled for it.
+different components that shares a prefix element and passes the filters is compared, each
+once, so no link between components is lost: a linked pair's first common element passes
+them.  Long lists are cut into blocks, and pairs of blocks meet in tasks of their own.
+
+The suffix filter runs before a pair is written: a posting carries the parities of its
+set's elements in BITS classes of hashes.  Two sets differ in at least as many elements
+as their parities differ, so a pair that differs too much can't link.
 """
 
 from __future__ import annotations
@@ -29,20 +31,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_batches, materialize, pick
+from tessera.llm.common import bitmap, delete, drop, in_batches, materialize, new_path, pick
 from tessera.llm.components import components
 
-#: Cells of the frequency table, and bits of the table that names wanted sets; both are fixed.
-FREQUENCIES, WANTED = 1 << 20, 1 << 22
+#: Cells of the frequency table; bits of the largest table that names wanted sets, which spares hashing and shuffling others.
+FREQUENCIES, WANTED = 1 << 20, 1 << 26
 #: Dropped rows up to which their keys are broadcast; beyond, they are joined by shuffle.
 BROADCAST_KEYS = 500_000
-#: Shingles counted at once, rounds of comparison with the smallest set, sets compared with one set in one task,
-#: lists that are compared side by side, and rows of a longer one compared at once.
-BLOCK, STARS, FAN, SIDE, ROWS = 2_000_000, 3, 2_000, 32, 2_048
+#: Shingles counted at once, rounds of comparison with pivots, pivots of a size class in a list, sets compared with one
+#: set in one task, lists that are compared side by side, rows of a block of a longer one, pairs compared at once.
+BLOCK, STARS, PIVOTS, FAN, SIDE, ROWS, PAIRS = 2_000_000, 2, 8, 2_000, 32, 1_024, 200_000
 #: Words whose hash a worker remembers.
 REMEMBERED = 300_000
-#: Ranges of hashes whose counts stand for a set in the suffix filter; bytes of text hashed at once.
-RANGES, TEXT = 64, 4 << 20
+#: Classes of hashes whose parities stand for a set in the suffix filter; bytes of text hashed at once.
+BITS, TEXT = 1024, 4 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,20 +178,41 @@ def _prefixes(shared, width: int, percent: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Rows sorted by the first column, in arrays that end where its value changes."""
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str], bits: str | None = None, most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Rows sorted by the first column, in arrays that end where its value changes, and True.
+
+    bits: a binary column of BITS / 8 bytes.  A value with more than `most` rows comes in
+    parts, each by itself and with False.
+    """
     rest: dict[str, np.ndarray] | None = None
+    over = None
     for batch in batches:
         part = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
+        if bits is not None:
+            part[bits] = np.frombuffer(b"".join(batch.column(bits).to_pylist()), np.uint64).reshape(-1, BITS // 64)
         if rest is not None:
-            part = {n: np.concatenate([rest[n], part[n]]) for n in names}
+            part = {n: np.concatenate([rest[n], v]) for n, v in part.items()}
+        if not len(part[names[0]]):
+            continue
+        if over is not None:
+            cut = int(np.searchsorted(part[names[0]], over, "right"))
+            if cut:
+                yield {n: v[:cut] for n, v in part.items()}, False
+                part = {n: v[cut:] for n, v in part.items()}
+            rest = None
+            if not len(part[names[0]]):
+                continue
+            over = None
         key = part[names[0]]
-        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        last = int(np.searchsorted(key, key[-1]))
         if last:
-            yield {n: v[:last] for n, v in part.items()}
+            yield {n: v[:last] for n, v in part.items()}, True
         rest = {n: v[last:] for n, v in part.items()}
+        if most is not None and len(rest[names[0]]) > most:
+            yield rest, False
+            rest, over = None, key[-1]
     if rest is not None and len(rest[names[0]]):
-        yield rest
+        yield rest, True
 
 
 def _starts(key: np.ndarray) -> np.ndarray:
@@ -236,12 +259,12 @@ def _lists(percent: int):
     names = ["token", "place", "set_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, names):
+        for g, whole in _groups(batches, names, most=8 * ROWS):
             same = np.r_[False, (g["token"][1:] == g["token"][:-1]) & (g["set_id"][1:] == g["set_id"][:-1])]
             g = {n: v[~same] for n, v in g.items()}
             size = np.diff(np.r_[_starts(g["token"]), len(g["token"])])
-            keep = np.repeat(size > SIDE, size)
-            small = np.repeat((size > 1) & (size <= SIDE), size)
+            keep = np.repeat(size > (SIDE if whole else 0), size)
+            small = np.repeat((size > 1) & (size <= SIDE), size) & ~keep
             few = {n: v[small] for n, v in g.items()}
             used = np.zeros(len(few["token"]), bool)
             for r, c in _pairs(few, percent):
@@ -253,88 +276,99 @@ def _lists(percent: int):
     return run
 
 
-def _stars(percent: int):
-    """(set, smallest set of its list and size class) wherever they may link and are of different components."""
-    names = ["token", "place", "set_id", "root"]
+def signature(s: np.ndarray) -> bytes:
+    """The parity of the number of elements in each of BITS classes of hashes."""
+    return np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def _differences(bits: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """A lower bound of the number of elements that are in one of two sets only."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[r[at : at + PAIRS]] ^ bits[c[at : at + PAIRS]]).sum(1, dtype=np.int64) for at in range(0, len(r), PAIRS))])
+
+
+def _close(g: dict[str, np.ndarray], r: np.ndarray, c: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix filter: which pairs of rows differ by no more than linked sets do, and that bound of each."""
+    n, m = g["place"][r] >> 32, g["place"][c] >> 32
+    far = _differences(g["bits"], r, c)
+    return far <= n + m - 2 * required(n, m, percent), far
+
+
+def _stars(percent: int, turn: int):
+    """For each posting the closest pivot of another component that it may link with: x, y, far."""
+    names = ["list", "place", "set_id", "root", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # of the batch before: its last row's group and that group's first row
-        for batch in batches:
-            v = {n: batch.column(n).to_numpy() for n in names}
-            if not len(v["token"]):
-                continue
-            group = np.floor(np.log(v["place"] >> 32) / np.log(100 / percent)).astype(np.int64)
-            at = np.flatnonzero(np.r_[True, (v["token"][1:] != v["token"][:-1]) | (group[1:] != group[:-1])])
-            pivot = {n: np.repeat(v[n][at], np.diff(np.r_[at, len(group)])) for n in names}
-            if last is not None and (last[0], last[1]) == (v["token"][0], group[0]):
-                until = at[1] if len(at) > 1 else len(group)
-                for n in names:
-                    pivot[n][:until] = last[2][n]
-            last = v["token"][-1], group[-1], {n: pivot[n][-1] for n in names}
-            ok = (v["root"] != pivot["root"]) & _may_link(v["place"], pivot["place"], percent)
-            yield pa.record_batch([pa.array(v["set_id"][ok]), pa.array(pivot["set_id"][ok])], names=["x", "y"])
+        for g, _ in _groups(batches, names, "bits"):
+            size_class = np.floor(np.log(g["place"] >> 32) / np.log(100 / percent)).astype(np.int64)
+            at = np.flatnonzero(np.r_[True, (g["list"][1:] != g["list"][:-1]) | (size_class[1:] != size_class[:-1])])
+            number = np.diff(np.r_[at, len(size_class)])
+            best = np.full(len(size_class), -1)
+            least = np.full(len(size_class), np.iinfo(np.int64).max)
+            for k in range(PIVOTS):
+                pivot = np.repeat(at + (number * (STARS * k + turn)) // (STARS * PIVOTS), number)
+                r = np.flatnonzero((g["root"] != g["root"][pivot]) & _may_link(g["place"], g["place"][pivot], percent))
+                if not len(r):
+                    continue
+                ok, far = _close(g, r, pivot[r], percent)
+                r, far = r[ok], far[ok]
+                better = far < least[r]
+                best[r[better]], least[r[better]] = pivot[r[better]], far[better]
+            r = np.flatnonzero(best >= 0)
+            if len(r):
+                yield pa.record_batch([pa.array(g["set_id"][r]), pa.array(g["set_id"][best[r]]), pa.array(least[r])], names=["x", "y", "far"])
 
     return run
 
 
 def _crossings(percent: int):
-    """All pairs of a list that are of different components and may link."""
-    names = ["token", "place", "set_id", "root"]
+    """All pairs of a list that are of different components and pass the filters; side: 0, or which of two blocks."""
+    names = ["list", "place", "set_id", "root", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, names):
-            starts = _starts(g["token"])
-            first = np.repeat(starts, np.diff(np.r_[starts, len(g["token"])]))
-            mixed = np.add.reduceat((g["root"] != g["root"][first]).astype(np.int64), starts) > 0
-            keep = np.repeat(mixed, np.diff(np.r_[starts, len(g["token"])]))
-            g = {n: v[keep] for n, v in g.items()}
-            for r, c in _pairs(g, percent):
-                ok = g["root"][r] != g["root"][c]
-                a, b = g["set_id"][r[ok]], g["set_id"][c[ok]]
-                if len(a):
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
+        held, count = [], 0
 
-    return run
+        def out() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(held), axis=0)  # many lists give the same pair
+            held.clear()
+            return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["x", "y"])
 
+        for g, _ in _groups(batches, names, "bits"):
+            g["token"] = g["list"]
+            for r, c in _pairs(g, percent):
+                ok = (g["root"][r] != g["root"][c]) & ((g["side"][r] == 0) | (g["side"][r] != g["side"][c]))
+                r, c = r[ok], c[ok]
+                ok, _ = _close(g, r, c, percent)
+                if ok.any():
+                    a, b = g["set_id"][r[ok]], g["set_id"][c[ok]]
+                    held.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
+                    count += len(a)
+            if count > PAIRS:
+                yield out()
+                count = 0
+        if held:
+            yield out()
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Counts of a sorted set by hash range; a count beyond 65535 is that, which only weakens the bound."""
-    edges = np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
-    return np.minimum(np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])), 65535).astype(np.uint16)
+    return run
 
 
 def _sets(shared, width: int):
     """The shingles of the sets that the table of wanted ones may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done, wanted = _Words(), set(), np.unpackbits(np.frombuffer(shared.value, np.uint8))
+        words, done, wanted = _Words(), set(), shared.value
+        bits = len(wanted) * 8
         for batch in in_batches(batches, TEXT):
-            ids, sizes, counts, sets = [], [], [], []
+            ids, parities, sets = [], [], []
             for s in batch_shingles(batch.column(0).to_pylist(), width, words):
-                if len(s) and wanted[(own := set_id(s)) % WANTED] and own not in done:
+                cell = (own := set_id(s)) % bits
+                if len(s) and wanted[cell >> 3] >> (cell & 7) & 1 and own not in done:
                     if len(done) >= REMEMBERED:
                         done.clear()
                     done.add(own)
                     ids.append(own)
-                    sizes.append(len(s))
-                    counts.append(signature(s).tobytes())
+                    parities.append(signature(s))
                     sets.append(s.tobytes())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(sets, pa.binary())], names=["set_id", "n", "counts", "elements"])
-
-    return run
-
-
-def _near(percent: int):
-    """Suffix filter: pairs (x, y, n, m, counts of x, counts of y) whose counts differ by no more than linked sets do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n, m = (b.column(c).to_numpy() for c in ("n", "m"))
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, RANGES).astype(np.int32) for c in ("of_x", "of_y"))
-            ok = np.abs(x - y).sum(1) <= n + m - 2 * required(n, m, percent)
-            yield b.select(["x", "y"]).filter(pa.array(ok))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(parities, pa.binary()), pa.array(sets, pa.binary())], names=["set_id", "bits", "elements"])
 
     return run
 
@@ -373,67 +407,93 @@ class _Join:
         counts = np.zeros(FREQUENCIES, np.int64)
         counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
         self.classes = self.spark.sparkContext.broadcast(frequency_classes(counts))
-        self.sets: DataFrame | None = None
+        self.made: list[DataFrame] = []
+        self.tables: dict[str, str] = {}  # name: path
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self.made.append(materialize(df))
+        return self.made[-1]
 
     def lists(self) -> DataFrame:
+        """token, place, set_id, blocks: the postings, and into how many blocks a list is cut."""
         postings = self.own.select("text").mapInArrow(_prefixes(self.classes, self.width, self.percent), "token long, set_id long, place long")
-        return materialize(postings.repartition("token").sortWithinPartitions("token", "place", "set_id").mapInArrow(_lists(self.percent), "token long, place long, set_id long"))
-
-    def load(self, ids: DataFrame) -> None:
-        """Read the sets of these ids (a column set_id) from the texts."""
-        marks = np.zeros(WANTED, np.uint8)
-        cells = ids.select(F.pmod("set_id", F.lit(WANTED)).alias("cell")).distinct().toArrow()  # at most WANTED rows
-        marks[cells["cell"].to_numpy()] = 1
-        shared = self.spark.sparkContext.broadcast(np.packbits(marks).tobytes())
-        more = self.own.select("text").mapInArrow(_sets(shared, self.width), "set_id long, n long, counts binary, elements binary").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
-        more = materialize(more)
-        self.sets = more if self.sets is None else self.sets.unionByName(more)
+        lists = self.kept(postings.repartition("token").sortWithinPartitions("token", "place", "set_id").mapInArrow(_lists(self.percent), "token long, place long, set_id long"))
+        long_ = self.kept(lists.groupBy("token").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")).filter("blocks > 1"))
+        return lists.join(long_, "token", "left").select("token", "place", "set_id", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+
+    def load(self, ids: DataFrame) -> DataFrame:
+        """set_id, bits, elements of these ids (a column set_id), from the texts; bucketed by set_id, so that joins on it don't shuffle it."""
+        ids = self.kept(ids)
+        bits = 1 << 16
+        while bits < min(WANTED, 8 * ids.count()):
+            bits *= 2
+        shared = self.spark.sparkContext.broadcast(bitmap(ids, "set_id", bits))
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        sets = self.own.select("text").mapInArrow(_sets(shared, self.width), "set_id long, bits binary, elements binary")
+        sets = sets.repartition(parts, "set_id").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
+        path = new_path(self.spark)
+        name = "tessera_" + path.rpartition("-")[2]
+        self.tables[name] = path
+        sets.write.bucketBy(parts, "set_id").sortBy("set_id").option("path", path).format("parquet").saveAsTable(name)
+        return self.spark.table(name)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """pairs: x, y, each once -> a, b: those that link."""
-        small = self.sets.select("set_id", "n", "counts")
-        pairs = pairs.join(small.select(F.col("set_id").alias("x"), "n", F.col("counts").alias("of_x")), "x")
-        pairs = pairs.join(small.select(F.col("set_id").alias("y"), F.col("n").alias("m"), F.col("counts").alias("of_y")), "y")
-        pairs = materialize(pairs.select("x", "y", "n", "m", "of_x", "of_y").mapInArrow(_near(self.percent), "x long, y long"))
-        fan = pairs.groupBy("y").agg(F.ceil(F.count("*") / FAN).alias("parts"))
+        fan = self.kept(pairs.groupBy("y").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts")))
         x = pairs.join(fan, "y").select("y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), "x").join(self.sets.select(F.col("set_id").alias("x"), "elements"), "x").select("y", "part", "x", "elements")
-        y = fan.join(self.sets.select(F.col("set_id").alias("y"), "elements"), "y").select("y", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"), F.lit(None).cast("long").alias("x"), "elements")
+        y = fan.join(self.sets.select(F.col("set_id").alias("y"), "elements"), "y").select("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("x"), "elements")
         met = y.unionByName(x).repartition("y", "part").sortWithinPartitions("y", "part", F.col("x").asc_nulls_first())
-        return materialize(met.mapInArrow(_linked(self.percent), "a long, b long"))
+        return self.kept(met.mapInArrow(_linked(self.percent), "a long, b long"))
+
+    def met(self, lists: DataFrame, both: bool) -> DataFrame:
+        """Lists (with roots) and the sets' parities, rows of a list and block together, by size; both: two blocks at a time."""
+        rows = lists.join(self.sets.select("set_id", "bits"), "set_id").withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks").cast("int"))
+        one = F.when(F.col("blocks") == 1, F.col("token"))
+        if both:
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            name = F.coalesce(one, F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
+            side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        else:
+            name, side = F.coalesce(one, F.xxhash64("token", "own")), F.lit(0)
+        return rows.select(name.alias("list"), "place", "set_id", "root", side.cast("int").alias("side"), "bits").repartition("list").sortWithinPartitions("list", "place", "set_id")
 
     def roots(self) -> DataFrame:
         """set_id, root of every set that is linked with another."""
         lists = self.lists()
-        self.load(lists.select("set_id").distinct())
+        self.sets = self.load(lists.select("set_id").distinct())
         links, tried, roots = None, None, None
-        for _ in range(STARS):
-            seen = self._rooted(lists, roots).mapInArrow(_stars(self.percent), "x long, y long").groupBy("x", "y").agg(F.count("*").alias("shared"))
+        open_ = self.kept(lists.withColumn("root", F.col("set_id")))
+        for turn in range(STARS):
+            seen = self.met(open_, False).mapInArrow(_stars(self.percent, turn), "x long, y long, far long")
             if tried is not None:
                 seen = seen.join(tried, ["x", "y"], "left_anti")
-            pairs = materialize(seen.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", F.col("best.y").alias("y")))
+            best = seen.groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+            pairs = self.kept(best)
             tried = pairs if tried is None else tried.unionByName(pairs)
             new = self.linked(pairs)
             if not new.take(1):
                 break
             links = new if links is None else links.unionByName(new)
             roots = components(links)
-        pairs = self._rooted(lists, roots).mapInArrow(_crossings(self.percent), "x long, y long").distinct()
+            # Only lists of several components are compared again.
+            rooted = open_.drop("root").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+            mixed = rooted.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("token")
+            open_ = self.kept(rooted.join(mixed, "token", "left_semi").select("token", "place", "set_id", "blocks", "root"))
+        pairs = self.met(open_, True).mapInArrow(_crossings(self.percent), "x long, y long").distinct()
         once = tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        new = self.linked(materialize(pairs.join(once, ["x", "y"], "left_anti")))
+        new = self.linked(self.kept(pairs.join(once, ["x", "y"], "left_anti")))
         if links is None:
             return components(new).withColumnRenamed("id", "set_id")
         if new.take(1):
             roots = components(links.unionByName(new))
         return roots.withColumnRenamed("id", "set_id")
 
-    @staticmethod
-    def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-        """lists with the root of each set, a list's rows together and by size."""
-        if roots is None:
-            rows = lists.withColumn("root", F.col("set_id"))
-        else:
-            rows = lists.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        return rows.select("token", "place", "set_id", "root").repartition("token").sortWithinPartitions("token", "place", "set_id")
+    def close(self) -> None:
+        """Delete what only the join itself read."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, list(self.tables.values()))
+        drop(*self.made)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -448,6 +508,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     join = _Join(docs, width, percent)
     roots = join.roots()
+    join.close()
     classes = join.rows.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     classes = materialize(classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))

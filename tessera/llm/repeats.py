@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_batches, materialize, pick
+from tessera.llm.common import bitmap, in_batches, materialize, pick
 
 #: Bytes of a gram; rows of a gram that one task takes; bits of the tables that name shared grams and cut documents (fixed).
 GRAM, HOT, SHARED, CUT = 20, 500_000, 1 << 26, 1 << 24
@@ -201,16 +201,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _bitmap(df: DataFrame, column: str, bits: int) -> bytes:
-    """A table of `bits` bits with those of the values' cells set; the driver gets at most bits / 64 rows."""
-    cell = F.pmod(F.col(column), F.lit(bits))
-    words = df.select(cell.cast("long").alias("cell")).select(F.shiftright("cell", 6).alias("word"), F.expr("shiftleft(1L, cast(cell & 63 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    marks = np.zeros(bits // 64, np.int64)
-    marks[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return marks.tobytes()
-
-
 def _hot_spans(rows: DataFrame, length: int) -> DataFrame:
     """As _earlier, for grams whose rows no task should gather."""
     side = length - GRAM
@@ -235,7 +225,7 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     ranks = long_.select("doc_id", "text").mapInArrow(_ranked(length), "gram long, first long, last long, n long")
     ranks = ranks.groupBy("gram").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     common = materialize(ranks.filter("first < last").select("gram", "n"))
-    marks = sc.broadcast(_bitmap(common, "gram", SHARED))
+    marks = sc.broadcast(bitmap(common, "gram", SHARED))
     around = long_.select("key", "doc_id", "text").mapInArrow(_around(marks, length), "gram long, key long, doc_id long, at long, size long, around binary")
     hot = common.filter(F.col("n") > HOT).select("gram")
     few = hot.limit(100_001).count()
@@ -247,7 +237,7 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     if few:
         spans = spans.unionByName(_hot_spans(around.join(hot, "gram", "left_semi"), length))
     spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("s")).select("key", F.col("s.begin").alias("begin"), F.col("s.end").alias("end")))
-    touched = sc.broadcast(_bitmap(spans, "key", CUT))
+    touched = sc.broadcast(bitmap(spans, "key", CUT))
     return _joined(own, spans, touched).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
