@@ -82,9 +82,13 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path = path_of(p)
         path.getFileSystem(conf).delete(path, True)
     if paths:
-        # Spark deletes the files of shuffles that nothing refers to when the driver's garbage is collected.
-        gc.collect()
-        spark._jvm.System.gc()
+        forget_shuffles(spark)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of shuffles that nothing refers to when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def drop(*tables: DataFrame) -> None:
@@ -93,10 +97,15 @@ def drop(*tables: DataFrame) -> None:
         delete(tables[0].sparkSession, [p for p, t in list(_of.items()) if any(t() is x for x in tables)])
 
 
-def release(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete everything that materialize() wrote, except what the tables in `keep` read."""
-    used = [f for k in keep for f in k.inputFiles()]
-    delete(spark, [p for p in list(_paths) if not any(os.path.basename(p) in f for f in used)])
+def written() -> list[str]:
+    """The paths in the shared folder that haven't been deleted."""
+    return list(_paths)
+
+
+def release(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Delete everything written since `before` was taken, except what `keep` reads."""
+    used = keep.inputFiles()
+    delete(spark, [p for p in _paths if p not in before and not any(os.path.basename(p) in f for f in used)])
 
 
 def bitmap(df: DataFrame, column: str, bits: int) -> bytes:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bitmap, delete, drop, in_batches, materialize, new_path, pick
+from tessera.llm.common import bitmap, delete, drop, forget_shuffles, in_batches, materialize, new_path, pick
 from tessera.llm.components import components
 
 #: Cells of the frequency table; bits of the largest table that names wanted sets, which spares hashing and shuffling others.
@@ -432,9 +432,11 @@ class _Join:
         sets = self.own.select("text").mapInArrow(_sets(shared, self.width), "set_id long, bits binary, elements binary")
         sets = sets.repartition(parts, "set_id").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
         path = new_path(self.spark)
+        forget_shuffles(self.spark)
         name = "tessera_" + path.rpartition("-")[2]
         self.tables[name] = path
         sets.write.bucketBy(parts, "set_id").sortBy("set_id").option("path", path).format("parquet").saveAsTable(name)
+        forget_shuffles(self.spark)
         return self.spark.table(name)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
@@ -443,7 +445,9 @@ class _Join:
         x = pairs.join(fan, "y").select("y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), "x").join(self.sets.select(F.col("set_id").alias("x"), "elements"), "x").select("y", "part", "x", "elements")
         y = fan.join(self.sets.select(F.col("set_id").alias("y"), "elements"), "y").select("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("x"), "elements")
         met = y.unionByName(x).repartition("y", "part").sortWithinPartitions("y", "part", F.col("x").asc_nulls_first())
-        return self.kept(met.mapInArrow(_linked(self.percent), "a long, b long"))
+        found = self.kept(met.mapInArrow(_linked(self.percent), "a long, b long"))
+        forget_shuffles(self.spark)
+        return found
 
     def met(self, lists: DataFrame, both: bool) -> DataFrame:
         """Lists (with roots) and the sets' parities, rows of a list and block together, by size; both: two blocks at a time."""

@@ -225,10 +225,90 @@ def test_personal_data_equals_plain_patterns(spark):
     assert got(pii.digest(pii.find(data.empty(spark)))) == []
 
 
-def test_contexts_discover_unseen_identifiers(spark):
-    rows = [(i, f"please call hotline +1 (415) 555-{1000 + i} for help", "en", "s", 0) for i in range(20)]
-    rows += [(100, "please call hotline 0800-555-7777 now", "en", "s", 0), (101, "the year 1984-1985 was long", "en", "s", 0)]
-    spans = {r["doc_id"]: r["spans"] for r in got(pii.digest(pii.find(data.frame(spark, only=rows))))}
-    assert spans[100] == "phone:20:33" and spans[101] == ""
-    text = {r["doc_id"]: r["text"] for r in got(pii.mask(data.frame(spark, only=rows, clashing=True)))}
-    assert text[100] == "please call hotline [PHONE] now" and text[3] == "please call hotline [PHONE] for help" and len(text) == len(rows)
+def graph_by_hand(texts, rounds, score, seeds):
+    """The trusted contexts, from all spans and tokens of the texts."""
+    edges = {}
+    for t in texts:
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t):
+            w = m.group()
+            if not re.search("[0-9@]", w):
+                continue
+            kind = {s[3] for s in base_spans(w)}
+            before, after = t[: m.start()].split(), t[m.end() :].split()
+            for context in ([f"l:{before[-1].lower()}"] if before else []) + ([f"r:{after[0].lower()}"] if after else []):
+                edges[context, w] = max([*kind, edges.get((context, w)) or ""]) or None
+    size = Counter(c for c, _ in edges)
+    trusted = {}
+    for _ in range(rounds):
+        belief = defaultdict(lambda: 1.0)
+        for (c, w), kind in edges.items():
+            if kind is None and len(w) >= 6 and ("@" in w or sum(x.isdigit() for x in w) >= 4):
+                for k, v in trusted.get(c, {}).items():
+                    belief[w, k] *= max(1 - v, 1e-6)
+        support = Counter()
+        for (c, w), kind in edges.items():
+            for k in PLAIN:
+                support[c, k] += 1 if kind == k else 1 - belief[w, k] if kind is None and (w, k) in belief else 0
+        trusted = {}
+        for (c, k), v in support.items():
+            if v >= seeds and v / size[c] >= score:
+                trusted.setdefault(c, {})[k] = v / size[c]
+    return {c: max((v, k) for k, v in ks.items())[1] for c, ks in trusted.items()}
+
+
+def test_contexts_equal_a_graph_by_hand(spark):
+    # Seeds teach "hotline"; what follows it teaches "extension", which has no seed.
+    texts = [f"please call hotline +1415555{1000 + i} soon" for i in range(20)]
+    texts += [f"please call hotline 0800-{7000 + i} soon" for i in range(4)] + [f"our extension 0800-{7000 + i} rings" for i in range(4)] + [f"an extension 0800-{7000} and extension 0800-{7001 + i} rings" for i in range(3)]
+    texts += ["their hotline 0800-7009 here", "an extension 0800-7009 here", "extension 0900-5555 ends", "the year 1984-1985 was long", "a number 123456 stands alone"]
+    texts += [f"some word {i}000000 x{i} other" for i in range(9)]
+    rng = np.random.default_rng(5)
+    for i in range(60):  # words between, so that no match runs from one number into the next
+        texts.append(" ".join(f"{w} {n}" for w, n in zip(rng.choice(["hotline", "extension", "word", "at"], 5), rng.choice([f"0800-{7000 + i % 12}", f"+1415555{1000 + i}", "aside", f"{i}@x"], 5), strict=True)))
+    docs = data.frame(spark, only=[(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    for rounds in (1, 2, 4):
+        for score in (0.5, 0.8):
+            spans, patterns, _ = pii._learn(docs, "text", rounds=rounds, score=score, seeds=3)
+            assert {r.context: r.kind for r in patterns.collect()} == graph_by_hand(texts, rounds, score, 3)
+
+
+def test_discovered_instances_induce_contexts(spark, monkeypatch):
+    texts = [f"please call hotline +1415555{1000 + i} soon" for i in range(40)] + [f"please call hotline 0800-{7000 + i} soon" for i in range(6)]
+    texts += [f"our extension 0800-{7000 + i} rings" for i in range(6)] + ["dear extension 0900-123456, goodbye"]
+    docs = data.frame(spark, only=[(i, t, "en", "s", 0) for i, t in enumerate(texts)], clashing=True)
+    for literals in (2000, 0):  # contexts as literals, and joined
+        monkeypatch.setattr(pii, "LITERALS", literals)
+        for rounds, last in ((1, ""), (2, "phone:15:26")):
+            spans = {r["doc_id"]: r["spans"] for r in got(pii.digest(pii.find(docs, rounds=rounds)))}
+            assert spans[40] == "phone:20:29" and spans[len(texts) - 1] == last
+        masked = {r["doc_id"]: r["text"] for r in got(pii.mask(docs))}
+        assert masked[len(texts) - 1] == "dear extension [PHONE], goodbye" and masked[0] == "please call hotline [PHONE] soon" and len(masked) == len(texts)
+
+
+def test_masking_keeps_everything_else(spark):
+    rows = data.rows() + [(500, "é+1 (415) 555-2671 1.2.3.4 a@b.cd 5500005555555559 tail", "en", "s", 0), (501, "x" * 5000 + " a@b.cd " + "é" * 5000 + " 1.2.3.4", None, None, None)]
+    docs = data.frame(spark, only=rows, clashing=True)
+    masked = pii.mask(docs)
+    assert masked.columns == docs.columns
+    found = by_row(masked, "doc_id", "text", "lang", "key")
+    expected = Counter()
+    for d, t, g, *_ in rows:
+        out, at = "", 0
+        for a, _, e, k in base_spans(t):
+            if a >= at:
+                out += t[at:a] + f"[{k.upper()}]"
+            at = max(at, e)
+        expected[d, None if t is None else out + t[at:], g, "clash"] += 1
+    assert found == expected
+    assert got(pii.mask(data.empty(spark))) == []
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"u{i}@mail.example.com" for i in range(40_000))
+    docs = data.frame(spark, only=[(1, text, "en", "s", 0)])
+    began = time.time()
+    (row,) = got(pii.digest(pii.find(docs)))
+    assert row["n_email"] == 40_000 and row["base_sha256"] == hashlib.sha256(",".join(f"email:{a}:{e}" for a, _, e, _ in base_spans(text)).encode()).hexdigest()
+    assert time.time() - began < 60
