@@ -10,8 +10,8 @@ totals of their contexts, sharded by context, to give discounted probabilities a
 back-off weights, which stay in the shared folder.  Up to `BROADCAST_GRAMS` of them are
 taken to the documents: one scan, no shuffle of text.  Beyond, the documents' distinct
 n-grams are joined to them in shards, with the same results.  A document is rejected if
-its perplexity is above a quantile of the trusted documents of its language, with room for
-short texts.
+its perplexity is above a quantile of its language, taken over trusted documents that were
+held out from training and allowing for the length of the text.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ BROADCAST_LANGS = 100_000
 #: N-grams of all orders up to which the model is broadcast; beyond, it is joined by shuffle.
 BROADCAST_GRAMS = 2_000_000
 #: Bytes of text counted or scored at once.
-TEXT = 4 << 20
+TEXT = 1 << 20
 
 
 def _points(text: str) -> np.ndarray:
@@ -236,25 +236,59 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(_score(shared), f"{kept}, loss double, size long")
 
 
+def _spread(good: DataFrame, quantile: float, least: int) -> DataFrame:
+    """For each language of held-out texts (lang, mean, size): center, far, near and z of its limit, and their number.
+
+    The variance of a text's mean loss about the center is far + near / size, by least squares;
+    z is the quantile of the distance from the center in such standard deviations.
+    """
+    square, share = F.pow(F.col("mean") - F.col("center"), 2), 1 / F.col("size")
+    center = good.groupBy("lang").agg((F.sum(F.col("mean") * F.col("size")) / F.sum("size")).alias("center"))
+    rows = good.join(center, "lang")
+    slope, level = F.regr_slope(square, share), F.regr_intercept(square, share)
+    fit = rows.groupBy("lang", "center").agg(slope.alias("slope"), level.alias("level"), F.avg(square).alias("square"), F.avg(share).alias("share"), F.count("*").alias("number"))
+    flat, steep = F.col("slope").isNull() | (F.col("slope") <= 0), F.col("level") <= 0
+    fit = fit.select(
+        "lang", "center", "number",
+        F.greatest(F.when(flat, F.col("square")).when(steep, F.lit(0.0)).otherwise(F.col("level")), F.lit(1e-12)).alias("far"),
+        F.when(flat, F.lit(0.0)).when(steep, F.col("square") / F.col("share")).otherwise(F.col("slope")).alias("near"),
+    )
+    fit = fit.filter(F.col("number") >= least)
+    rows = good.join(fit, "lang")
+    z = (F.col("mean") - F.col("center")) / F.sqrt(F.col("far") + F.col("near") / F.col("size"))
+    return rows.groupBy("lang", "center", "far", "near").agg(F.percentile_approx(z, F.lit(quantile), F.lit(10_000)).alias("z"))
+
+
 class Judge:
-    """A model and the limits of loss per character that its trusted texts give."""
+    """A model of all trusted texts, and the limits that texts held out from training set.
+
+    The trusted texts are dealt into two folds by document; each fold is scored by a model
+    of the other.  A language's limit for a text of n characters is center + z * sqrt(far +
+    near / n), see _spread.
+    """
 
-    def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, slack: float = 0.0, room: float = 2.0):
+    def __init__(self, docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, least: int = 30):
         own = trusted_rows(pick(docs, doc_id="long", text="string", lang="string"), trusted).filter(F.length("text") > 0)
-        self.model, self.slack, self.room = train(own.select("text")), slack, room
-        good = materialize(score(own.select("lang", "text"), self.model).select("lang", (F.col("loss") / F.col("size")).alias("mean")))
-        cut = F.percentile_approx("mean", F.lit(quantile), F.lit(10_000))
-        cuts = materialize(good.filter("lang is not null").groupBy("lang").agg(cut.alias("cut")))
-        self.by_lang = F.broadcast(cuts) if cuts.count() <= BROADCAST_LANGS else cuts
-        self.overall = good.agg(cut.alias("cut")).first().cut
+        own = materialize(own.select("lang", "text", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).alias("fold")))
+        self.model = train(own.select("text"))
+        folds = [own.filter(F.col("fold") == k) for k in (0, 1)]
+        if all(f.take(1) for f in folds):
+            held = [score(folds[k].select("lang", "text"), train(folds[1 - k].select("text"))) for k in (0, 1)]
+            held = held[0].unionByName(held[1])
+        else:
+            held = score(own.select("lang", "text"), self.model)
+        good = materialize(held.select("lang", "size", (F.col("loss") / F.col("size")).alias("mean")))
+        by_lang = materialize(_spread(good.filter("lang is not null"), quantile, least))
+        self.by_lang = F.broadcast(by_lang) if by_lang.count() <= BROADCAST_LANGS else by_lang
+        self.overall = _spread(good.withColumn("lang", F.lit("")), quantile, 1).first()
 
     def limited(self, scored: DataFrame) -> DataFrame:
         """scored (lang, size, ...) with the limit of each row."""
         if self.overall is None:
             return scored.withColumn("limit", F.lit(float("inf")))
-        cut = F.coalesce("cut", F.lit(self.overall))
         rows = scored.join(self.by_lang, "lang", "left")
-        return rows.select(*scored.columns, (cut + self.slack + F.lit(self.room) / F.sqrt(F.greatest("size", F.lit(1)))).alias("limit"))
+        center, far, near, z = (F.coalesce(c, F.lit(self.overall[c])) for c in ("center", "far", "near", "z"))
+        return rows.select(*scored.columns, (center + z * F.sqrt(far + near / F.greatest("size", F.lit(1)))).alias("limit"))
 
 
 def _mean() -> Column:
@@ -265,10 +299,10 @@ def judge(docs: DataFrame, trusted: DataFrame, **settings: float) -> DataFrame:
     """doc_id, lang, size, perplexity, threshold, rejected: one row for each row of docs.
 
     docs: doc_id, text, lang; trusted: the doc_ids of texts to train on, of which the
-    texts are in docs.  The threshold of a language is the quantile of the trusted
-    documents' loss per character plus `slack`; a document of n characters has room/sqrt(n)
-    more.  A language without trusted documents, and a null one, has the quantile of all.
-    A null or empty text has perplexity 1 and is kept, as is everything if nothing is
+    texts are in docs.  A threshold is `quantile` of what trusted documents of the language
+    reach that the model wasn't trained on, in standard deviations for the length of the
+    text (see Judge).  A language of fewer than `least` trusted documents, and a null one, has
+    the threshold of all.  A null or empty text has perplexity 1 and is kept, as is everything if nothing is
     trusted.  Repeated rows are judged alike.  Other columns are ignored; an empty table
     gives an empty result.
     """

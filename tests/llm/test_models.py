@@ -1,4 +1,6 @@
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -102,13 +104,98 @@ def test_quality_tells_rare_scripts(spark):
     assert all(found[d] for d, *_ in junk + shouted) and sum(found[d] for d, *_ in docs) <= 3
 
 
-def test_quality_limits_of_many_languages(spark):
+class ByHand:
+    """Interpolated modified Kneser-Ney of order 4 over characters, by plain counting."""
+
+    def __init__(self, texts):
+        self.known = set("".join(texts))
+        levels = [Counter(g for t in texts for g in self.grams(t))]
+        for _ in range(3):
+            levels.insert(0, Counter(g[1:] for g in levels[0]))
+        self.levels = []
+        for level in levels:
+            n = [sum(c == k for c in level.values()) for k in (1, 2, 3, 4)]
+            d = [0.5] * 3
+            if n[0] and n[1]:
+                y = n[0] / (n[0] + 2 * n[1])
+                d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[2] else 1.5]
+                d = [min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1, 2, 3))]
+            sums = defaultdict(lambda: [0, 0.0])
+            for g, c in level.items():
+                sums[g[:-1]][0] += c
+                sums[g[:-1]][1] += d[min(c, 3) - 1]
+            self.levels.append((level, d, dict(sums)))
+
+    def grams(self, text):
+        s = ["start"] * 3 + [c if c in self.known else "other" for c in text]
+        return [tuple(s[i - 3 : i + 1]) for i in range(3, len(s))]
+
+    def loss(self, text):
+        total = 0
+        for g in self.grams(text):
+            p = 1 / (2 + len(self.known))
+            for k, (level, d, sums) in enumerate(self.levels):
+                own = g[3 - k :]
+                if own[:-1] in sums:
+                    n, freed = sums[own[:-1]]
+                    c = level.get(own, 0)
+                    p = (c - d[min(c, 3) - 1] if c else 0) / n + freed / n * p
+            total -= np.log(p)
+        return total
+
+
+def judged_by_hand(rows, trusted, quantile, least):
+    good = [(d, t, g) for d, t, g, *_ in rows if d in trusted and t]
+    folds = [[r for r in good if zlib.crc32(str(r[0]).encode()) % 2 == k] for k in (0, 1)]
+    held = []
+    for k in (0, 1):
+        model = ByHand([t for _, t, _ in folds[1 - k]])
+        held += [(g, len(t), model.loss(t) / len(t)) for _, t, g in folds[k]]
+
+    def spread(of):
+        n, mean = np.array([x[1] for x in of], float), np.array([x[2] for x in of])
+        center = (n * mean).sum() / n.sum()
+        square, share = (mean - center) ** 2, 1 / n
+        far, near = square.mean(), 0.0
+        if np.ptp(share):
+            slope = ((share - share.mean()) * (square - square.mean())).sum() / ((share - share.mean()) ** 2).sum()
+            level = square.mean() - slope * share.mean()
+            if slope > 0:
+                far, near = (level, slope) if level > 0 else (0, square.mean() / share.mean())
+        far = max(far, 1e-12)
+        z = np.sort((mean - center) / np.sqrt(far + near / n))
+        return center, far, near, z[int(np.ceil(quantile * len(z))) - 1]
+
+    limits = {g: spread(of) for g in {h[0] for h in held} if g is not None and len(of := [h for h in held if h[0] == g]) >= least}
+    overall, model = spread(held), ByHand([t for _, t, _ in good])
+    out = {}
+    for d, t, g, *_ in rows:
+        center, far, near, z = limits.get(g, overall)
+        mean = model.loss(t) / len(t) if t else 0.0
+        limit = center + z * np.sqrt(far + near / max(1, len(t or "")))
+        out[d] = np.exp(mean), np.exp(limit), mean > limit
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_quality_equals_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(quality, "BROADCAST_LANGS", 0)
+        monkeypatch.setattr(quality, "BROADCAST_GRAMS", 0)
     rng = random.Random(9)
-    docs = [(i, " ".join(data.words(rng, "en", 5 + i % 7)), f"l{i:04}", "s", 0) for i in range(1100)]
-    trusted = spark.createDataFrame([(d[0],) for d in docs], "doc_id long")
-    found = quality.judge(data.frame(spark, only=docs), trusted).collect()  # one document a language: its own loss is the cut
-    assert len(found) == 1100
-    assert all(np.log(r.threshold) - 2 / np.sqrt(r["size"]) == pytest.approx(np.log(r.perplexity), abs=1e-9) for r in found)
+    greek, kana = "αβγδεζηθικλμνξοπρστυφχψω", "あいうえおかきくけこさしすせそ"
+    rows = [(i, r[1], r[2], "s", 0) for i, r in enumerate(data.rows(n=90))][:110]
+    rows += [(200 + i, " ".join("".join(rng.choices(greek if i % 2 else kana, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 30))), "el" if i % 2 else "ja", "s", 0) for i in range(60)]
+    rows += [(300, None, "en", "s", 0), (301, "", "el", "s", 0), (302, "ωω ΣΩ 𝔘𝔫 🎉", "xx", "s", 0), (303, "qqqq zzzz qqqq 1111", "en", "s", 0), (304, "αβγ the ing", None, "s", 0)]
+    trusted = {r[0] for r in rows if r[0] % 3}
+    found = quality.judge(data.frame(spark, only=rows), spark.createDataFrame([(d,) for d in trusted], "doc_id long"), quantile=0.9, least=12).collect()
+    expected = judged_by_hand(rows, trusted, 0.9, 12)
+    assert len(found) == len(rows) == len(expected)
+    for r in found:
+        perplexity, threshold, rejected = expected[r.doc_id]
+        assert r.perplexity == pytest.approx(perplexity, rel=1e-8) and r.threshold == pytest.approx(threshold, rel=1e-6)
+        assert r.rejected == rejected or perplexity == pytest.approx(threshold, rel=1e-6)
+    assert 0 < sum(r.rejected for r in found) < len(rows)
 
 
 def test_quality_joined_equals_broadcast(spark, monkeypatch):
