@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +87,6 @@ class Spec:
     checksums: bool = False
     label: str = ""
     raster_space: str = "unspecified"
-    codecs: tuple[str, ...] = field(default=("deflate", "float", "canonical"))
 
     def __post_init__(self) -> None:
         if self.n_rows < 1 or self.n_cols < 1:
@@ -202,7 +201,6 @@ class Spec:
     def from_json(text: str) -> Spec:
         d = json.loads(text)
         d["elements"] = tuple(Element(**e) for e in d["elements"])
-        d["codecs"] = tuple(d["codecs"])
         d["to_grid"] = tuple(d["to_grid"]) if d["to_grid"] else None
         return Spec(**d)
 

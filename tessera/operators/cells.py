@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +52,12 @@ def at_points(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def upsert(cells: DataFrame, patch: DataFrame) -> DataFrame:
-    """cells with the patch's values; an element that the patch lacks, or has null, stays."""
+    """cells with the patch's values; an element that the patch lacks, or has null, stays.
+
+    Of a cell's values in several rows of the patch the greatest counts.
+    """
     names = [c for c in cells.columns if c not in ("row", "col")]
-    p = patch.select("row", "col", *(F.col(c).alias(f"_{c}") for c in names if c in patch.columns))
+    p = patch.groupBy("row", "col").agg(*(F.max(c).alias(f"_{c}") for c in names if c in patch.columns))
     joined = cells.join(p, ["row", "col"], "full_outer")
     return joined.select("row", "col", *((F.coalesce(f"_{c}", c) if c in patch.columns else F.col(c)).alias(c) for c in names))
 
@@ -66,11 +72,31 @@ def one_per_tile(cells: DataFrame, spec: Spec, place: int = 0) -> DataFrame:
 
 
 def tile_form(cells: DataFrame, spec: Spec, element: str) -> DataFrame:
-    """tile_index, tile_row, tile_col, element, values: a row for each populated tile, row-major, null where missing."""
+    """tile_index, tile_row, tile_col, element, values: a row for each populated tile, row-major, null where missing.
+
+    Of a cell's values in several rows any one is taken.
+    """
     at = grid.with_address(cells.filter(F.col(element).isNotNull()), spec)
-    held = at.groupBy("tile_index", "tile_row", "tile_col").agg(F.map_from_entries(F.collect_list(F.struct("index_in_tile", element))).alias("m"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(spec.cells_per_tile - 1)), lambda i: F.try_element_at(F.col("m"), i))
-    return held.select("tile_index", "tile_row", "tile_col", F.lit(element).alias("element"), values.alias("values"))
+    held = at.groupBy("tile_index", "tile_row", "tile_col").agg(F.collect_list(F.struct("index_in_tile", F.col(element).alias("z"))).alias("m"))
+    n = spec.cells_per_tile
+    kind = cells.schema[element].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, max(1, (1 << 22) // n)):
+                b = whole.slice(first, max(1, (1 << 22) // n))
+                place, z = b.column(3).flatten(), b.column(4).flatten()
+                tile = np.repeat(np.arange(b.num_rows), np.asarray(pc.list_value_length(b.column(3))))
+                to = tile * n + place.to_numpy()
+                source = np.full(b.num_rows * n, -1, np.int64)
+                source[to] = np.arange(len(z))
+                flat = z.take(pa.array(source, mask=source < 0))
+                offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * n)
+                yield pa.record_batch([*b.columns[:3], pa.ListArray.from_arrays(offsets, flat)], names=["tile_index", "tile_row", "tile_col", "values"])
+
+    split = held.select("tile_index", "tile_row", "tile_col", "m.index_in_tile", "m.z")
+    tiles = split.mapInArrow(run, f"tile_index int, tile_row int, tile_col int, values array<{kind.simpleString()}>")
+    return tiles.select("tile_index", "tile_row", "tile_col", F.lit(element).alias("element"), "values")
 
 
 def cell_form(tiles: DataFrame, spec: Spec, element: str) -> DataFrame:

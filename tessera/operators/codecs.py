@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -30,6 +30,7 @@ class Codec(Protocol):
     """encode returns bytes, or None if the codec doesn't take such a tile."""
 
     takes: str  # int or float
+    # version: int, 1 if there is none; another version can't read what this one wrote
 
     def encode(self, z: np.ndarray) -> bytes | None: ...
 
@@ -307,6 +308,17 @@ class Registry:
     def index(self, name: str) -> int:
         return list(self.codecs).index(name)
 
+    def labels(self) -> tuple[str, ...]:
+        """name@version of each codec, by index: what a store keeps, so that any registry with these codecs can read it."""
+        return tuple(f"{n}@{getattr(c, 'version', 1)}" for n, c in self.codecs.items())
+
+    def resolved(self, labels: Sequence[str] | None) -> list[Codec | str]:
+        """The codec of each label, or the label if there is none such here; without labels all codecs in order."""
+        if labels is None:
+            return list(self.codecs.values())
+        own = dict(zip(self.labels(), self.codecs.values(), strict=True))
+        return [own.get(label, label) for label in labels]
+
 
 def default_registry(least_squares: bool = False) -> Registry:
     r = Registry(huffman=Huffman(), deflate=Deflate(), planes=FloatPlanes(), canonical=CanonicalHuffman())
@@ -328,7 +340,7 @@ def _tile(values: pa.Scalar, kind: str, shape: tuple[int, int]) -> np.ndarray:
 
 
 def encode_tiles(tiles: DataFrame, shape: tuple[int, int], kind: str = "int", registry: Registry | None = None) -> DataFrame:
-    """tile_index, element, values -> for each codec that takes the tile: codec_index, codec, packing, size, checksum."""
+    """tile_index, element, values -> for each codec that takes the tile: codec_index, codec, packing, size."""
     registry = registry or default_registry()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,36 +354,87 @@ def encode_tiles(tiles: DataFrame, shape: tuple[int, int], kind: str = "int", re
                         rows.append((index, element, i, name, bytes([i]) + data))
                 rows.append((index, element, RAW, "raw", bytes([RAW]) + z.astype(z.dtype.newbyteorder("<")).tobytes()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            sums = [bits.crc32c_bytes(p) for p in cols[4]]
-            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary()), pa.array([len(p) for p in cols[4]], pa.int32()), pa.array(sums, pa.int64())], names=["tile_index", "element", "codec_index", "codec", "packing", "size", "checksum"])
+            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary()), pa.array([len(p) for p in cols[4]], pa.int32())], names=["tile_index", "element", "codec_index", "codec", "packing", "size"])
 
-    return tiles.select("tile_index", "element", "values").mapInArrow(run, "tile_index int, element string, codec_index int, codec string, packing binary, size int, checksum long")
+    return tiles.select("tile_index", "element", "values").mapInArrow(run, "tile_index int, element string, codec_index int, codec string, packing binary, size int")
 
 
 def shortest(packed: DataFrame) -> DataFrame:
     """Each tile's element in its shortest packing, ties to the earlier codec."""
-    best = packed.groupBy("tile_index", "element").agg(F.min_by(F.struct("codec_index", "codec", "packing", "size", "checksum"), F.struct("size", "codec_index")).alias("b"))
+    best = packed.groupBy("tile_index", "element").agg(F.min_by(F.struct("codec_index", "codec", "packing", "size"), F.struct("size", "codec_index")).alias("b"))
     return best.select("tile_index", "element", "b.*")
 
 
-def decode_tiles(packed: DataFrame, shape: tuple[int, int], kind: str = "int", registry: Registry | None = None) -> DataFrame:
-    """tile_index, element, values; the codec is found by the packing's first byte."""
-    registry = registry or default_registry()
+def sealed(packed: DataFrame) -> DataFrame:
+    """packed with the CRC-32C of each packing, for those that are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = list(registry.codecs.values())
         for b in batches:
-            out = []
-            for p in b.column(2).to_pylist():
-                z = np.frombuffer(p, "<f4" if kind == "float" else "<i4", offset=1).reshape(shape) if p[0] == RAW else known[p[0]].decode(p[1:], shape)
-                flat = z.reshape(-1)
-                out.append(pa.array(flat, mask=np.isnan(flat) if kind == "float" else flat == INT_MIN))
-            item = pa.float32() if kind == "float" else pa.int32()
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([o.to_pylist() for o in out], pa.list_(item))], names=["tile_index", "element", "values"])
+            yield pa.record_batch([*b.columns, pa.array(bits.crc32c_all(b.column("packing").to_pylist()), pa.int64())], names=[*b.schema.names, "checksum"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields)
+    return packed.mapInArrow(run, f"{kept}, checksum long")
+
+
+def _arrays(flat: np.ndarray, n: int, missing: np.ndarray, kind: str) -> pa.ListArray:
+    """Rows of n values each, null where missing, without a Python object for any."""
+    values = pa.array(flat.astype(np.float32 if kind == "float" else np.int32, copy=False), mask=missing)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) // n + 1, dtype=np.int32) * n), values)
+
+
+def decode_tiles(packed: DataFrame, shape: tuple[int, int], kind: str = "int", registry: Registry | None = None, labels: Sequence[str] | None = None) -> DataFrame:
+    """tile_index, element, values; the codec is found by the packing's first byte, an index of labels (or of the registry)."""
+    registry = registry or default_registry()
+    n = shape[0] * shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = registry.resolved(labels)
+
+        def one(p: bytes) -> np.ndarray:
+            if p[0] == RAW:
+                return np.frombuffer(p, "<f4" if kind == "float" else "<i4", offset=1)
+            if p[0] >= len(known) or isinstance(known[p[0]], str):
+                raise ValueError(f"no codec {known[p[0]] if p[0] < len(known) else p[0]} is registered")
+            return known[p[0]].decode(p[1:], shape).reshape(-1)
+
+        for whole in batches:
+            for first in range(0, whole.num_rows, max(1, (1 << 22) // n)):
+                b = whole.slice(first, max(1, (1 << 22) // n))
+                flat = np.concatenate([one(p) for p in b.column(2).to_pylist()])
+                yield pa.record_batch([b.column(0), b.column(1), _arrays(flat, n, np.isnan(flat) if kind == "float" else flat == INT_MIN, kind)], names=["tile_index", "element", "values"])
 
     return packed.select("tile_index", "element", "packing").mapInArrow(run, f"tile_index int, element string, values array<{'float' if kind == 'float' else 'int'}>")
 
 
+def tile_residuals(tiles: DataFrame, shape: tuple[int, int], predictor: str = "with_nulls") -> DataFrame:
+    """tile_index, seed, residuals of integer tiles (tile_index, values), null where a value is; whole tiles, no shuffle."""
+    n = shape[0] * shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, max(1, (1 << 22) // n)):
+                b = whole.slice(first, max(1, (1 << 22) // n))
+                found = [residuals(_tile(v, "int", shape), predictor) for v in b.column(1)]
+                missing = b.column(1).flatten().is_null().to_numpy(zero_copy_only=False)
+                yield pa.record_batch([b.column(0), pa.array([seed for seed, _ in found], pa.int32()), _arrays(np.concatenate([d.reshape(-1) for _, d in found]), n, missing, "int")], names=["tile_index", "seed", "residuals"])
+
+    return tiles.select("tile_index", "values").mapInArrow(run, "tile_index int, seed int, residuals array<int>")
+
+
+def tile_restored(packed: DataFrame, shape: tuple[int, int], predictor: str = "with_nulls") -> DataFrame:
+    """tile_index, values of tiles (tile_index, seed, residuals)."""
+    n = shape[0] * shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, max(1, (1 << 22) // n)):
+                b = whole.slice(first, max(1, (1 << 22) // n))
+                flat = np.concatenate([restored(seed, _tile(v, "int", shape), predictor).reshape(-1) for seed, v in zip(b.column(1).to_pylist(), b.column(2), strict=True)])
+                yield pa.record_batch([b.column(0), _arrays(flat, n, flat == INT_MIN, "int")], names=["tile_index", "values"])
+
+    return packed.select("tile_index", "seed", "residuals").mapInArrow(run, "tile_index int, values array<int>")
+
+
 def report(packed: DataFrame, cells_per_tile: int) -> DataFrame:
     """For each codec: tiles, bytes, bits per symbol, mean size, and overhead against raw (four bytes a cell)."""
     return packed.groupBy("codec").agg(
@@ -385,7 +448,8 @@ def damaged(packed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bad = [bits.crc32c_bytes(p or b"") != c for p, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            sums = bits.crc32c_all([p or b"" for p in b.column(2).to_pylist()])
+            bad = [found != c for found, c in zip(sums, b.column(3).to_pylist(), strict=True)]
             yield b.filter(pa.array(bad, pa.bool_())).select([0, 1])
 
     return packed.select("tile_index", "element", "packing", "checksum").mapInArrow(run, "tile_index int, element string")

@@ -20,25 +20,34 @@ STRIP = 64
 
 
 class Interpolator(Protocol):
-    """What turns query points (point_id, x, y) into values on a raster."""
+    """What adds values z to query points (point_id, grid_row, grid_col) on a raster."""
 
     def __call__(self, points: DataFrame, cells: DataFrame, spec: Spec) -> DataFrame: ...
 
 
-def weights(u: Column) -> list[Column]:
-    """Uniform cubic B-spline; also used, unchanged, beyond [0, 1] at clamped edges."""
-    v = 1 - u
-    return [v * v * v / 6, (3 * u * u * (u - 2) + 4) / 6, (3 * u * (1 + u - u * u) + 1) / 6, u * u * u / 6]
+def sample(points: DataFrame, cells: DataFrame, spec: Spec, interpolator: Interpolator | None = None) -> DataFrame:
+    """points (point_id, x, y; geographic: longitude, latitude) with z by any interpolator, a spline by default."""
+    return (interpolator or spline)(at_model(points, spec), cells, spec)
 
 
-def first_weights(u: Column, h: Column) -> list[Column]:
-    v = 1 - u
-    return [-(v * v) / (2 * h), (1.5 * u - 2) * u / h, (0.5 - (1.5 * u - 1) * u) / h, u * u / (2 * h)]
+# Six times the coefficients of the four weights of a uniform cubic B-spline, by power of u.
+BASIS = ((1, -3, 3, -1), (4, 0, -6, 3), (1, 3, 3, -3), (0, 0, 0, 1))
 
 
-def second_weights(u: Column, h: Column) -> list[Column]:
-    hh = h * h
-    return [(1 - u) / hh, (3 * u - 2) / hh, (1 - 3 * u) / hh, u / hh]
+def weights(u: Column, order: int = 0, h: Column | None = None) -> list[Column]:
+    """The weights, or their derivatives for samples h apart; also used, unchanged, beyond [0, 1] at clamped edges."""
+    out = []
+    for c in BASIS:
+        for _ in range(order):
+            c = [k * x for k, x in enumerate(c)][1:]
+        total = F.lit(float(c[-1]))
+        for x in reversed(c[:-1]):
+            total = total * u + float(x)
+        total = total / 6.0
+        for _ in range(order):
+            total = total / h
+        out.append(total)
+    return out
 
 
 def neighbourhood(points: DataFrame, spec: Spec, size: int = 4) -> DataFrame:
@@ -61,8 +70,11 @@ def neighbourhood(points: DataFrame, spec: Spec, size: int = 4) -> DataFrame:
     return points.withColumns({"inside": inside & ~F.isnan(r) & ~F.isnan(c), "row0": row0, "col0": col0}).withColumns({"u": u, "v": row - F.col("row0") - back})
 
 
-def strips(cells: DataFrame, spec: Spec, element: str, size: int = 4) -> DataFrame:
-    """row, strip, zs: column -> sample, with the next strip's first columns (the first ones' at a seam)."""
+def strips(cells: DataFrame, spec: Spec, element: str, size: int = 4, wanted: DataFrame | None = None) -> DataFrame:
+    """row, strip, zs: column -> sample, with the next strip's first columns (the first ones' at a seam).
+
+    wanted: the only (row, strip) that are needed; other cells go no further than a semi-join.
+    """
     c = F.col("col")
     own = F.struct(F.floor(c / STRIP).cast("int").alias("strip"), c.alias("at"))
     before = F.struct((F.floor(c / STRIP) - 1).cast("int").alias("strip"), c.alias("at"))
@@ -71,14 +83,16 @@ def strips(cells: DataFrame, spec: Spec, element: str, size: int = 4) -> DataFra
     places = F.when((c % STRIP < size - 1) & (c >= STRIP), F.array(own, before)).otherwise(F.array(own))
     if spec.wraps:
         places = F.concat(places, F.when(c < size - 1, F.array(*seam)).otherwise(F.array().cast("array<struct<strip:int,at:int>>")))
-    z = cells.filter(F.col(element).isNotNull()).select("row", F.explode(places).alias("p"), F.col(element).cast("double").alias("z"))
-    return z.groupBy("row", "p.strip").agg(F.map_from_entries(F.collect_list(F.struct("p.at", "z"))).alias("zs"))
+    z = cells.filter(F.col(element).isNotNull()).select("row", F.explode(places).alias("p"), F.col(element).cast("double").alias("z")).select("row", "p.strip", "p.at", "z")
+    if wanted is not None:
+        z = z.join(wanted, ["row", "strip"], "left_semi")
+    return z.groupBy("row", "strip").agg(F.map_from_entries(F.collect_list(F.struct("at", "z"))).alias("zs"))
 
 
 def _samples(points: DataFrame, cells: DataFrame, spec: Spec, element: str, size: int) -> DataFrame:
     """points with s: an array of `size` rows of `size` samples, null if any is missing."""
     near = points.filter("inside").select("point_id", "col0", F.floor(F.col("col0") / STRIP).cast("int").alias("strip"), F.posexplode(F.sequence(F.col("row0"), F.col("row0") + size - 1)).alias("j", "row"))
-    joined = near.join(strips(cells, spec, element, size), ["row", "strip"])
+    joined = near.join(strips(cells, spec, element, size, near.select("row", "strip").distinct()), ["row", "strip"])
     four = F.array(*(F.try_element_at("zs", F.col("col0") + i) for i in range(size)))
     rows = joined.select("point_id", "j", four.alias("z")).filter(F.forall("z", lambda e: e.isNotNull() & ~F.isnan(e)))
     s = rows.groupBy("point_id").agg(F.collect_list(F.struct("j", "z")).alias("s")).filter(F.size("s") == size)
@@ -107,9 +121,9 @@ def spline(points: DataFrame, cells: DataFrame, spec: Spec, element: str = "z",
     u, v = F.col("u"), F.col("v")
     out = {"z": _weighted(weights(v), weights(u))}
     if order >= 1:
-        out |= {"zx": _weighted(weights(v), first_weights(u, hx)), "zy": _weighted(first_weights(v, hy), weights(u))}
+        out |= {"zx": _weighted(weights(v), weights(u, 1, hx)), "zy": _weighted(weights(v, 1, hy), weights(u))}
     if order >= 2:
-        out |= {"zxx": _weighted(weights(v), second_weights(u, hx)), "zxy": _weighted(first_weights(v, hy), first_weights(u, hx)), "zyy": _weighted(second_weights(v, hy), weights(u))}
+        out |= {"zxx": _weighted(weights(v), weights(u, 2, hx)), "zxy": _weighted(weights(v, 1, hy), weights(u, 1, hx)), "zyy": _weighted(weights(v, 2, hy), weights(u))}
     return s.withColumns(out).drop("s", "u", "v", "row0", "col0", "inside")
 
 

@@ -7,6 +7,9 @@ Sums are of 64 bits and wrapped to 32 at the end, as residuals wrap.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -15,6 +18,16 @@ from tessera.functions.arith import wrap32
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
 
+def _together(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """f of tiles dealt out by tile_index: one shuffle, which serves windows over rows, columns and whole tiles."""
+
+    @wraps(f)
+    def run(tiles: DataFrame) -> DataFrame:
+        return f(tiles.repartition("tile_index"))
+
+    return run
+
+
 def _row() -> WindowSpec:
     return Window.partitionBy("tile_index", "r").orderBy("c")
 
@@ -27,6 +40,7 @@ def _long(name: str) -> Column:
     return F.col(name).cast("long")
 
 
+@_together
 def encode_differencing(tiles: DataFrame) -> DataFrame:
     """Less the left neighbour; in column 0 less the cell above; the first cell is the seed."""
     z = _long("z")
@@ -40,11 +54,13 @@ def _row_base(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("_down", down).withColumn("base", F.first("_down").over(_row())).drop("_down")
 
 
+@_together
 def decode_differencing(tiles: DataFrame) -> DataFrame:
     along = F.sum(F.when(F.col("c") > 0, _long("residual")).otherwise(0)).over(_row().rowsBetween(*_UP_TO))
     return _row_base(tiles).withColumn("z", wrap32(F.col("base") + along)).drop("base")
 
 
+@_together
 def encode_linear(tiles: DataFrame) -> DataFrame:
     """Less the line through the two left neighbours; columns 0 and 1 are differenced."""
     z = _long("z")
@@ -53,12 +69,14 @@ def encode_linear(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("residual", wrap32(z - F.coalesce(prior, F.lit(0))))
 
 
+@_together
 def decode_linear(tiles: DataFrame) -> DataFrame:
     steps = F.sum(F.when(F.col("c") > 0, _long("residual")).otherwise(0)).over(_row().rowsBetween(*_UP_TO))
     stepped = _row_base(tiles).withColumn("_step", steps)
     return stepped.withColumn("z", wrap32(F.col("base") + F.sum("_step").over(_row().rowsBetween(*_UP_TO)))).drop("base", "_step")
 
 
+@_together
 def encode_triangle(tiles: DataFrame) -> DataFrame:
     """Less left + above - above left; the first row and column are differenced."""
     z = _long("z")
@@ -66,11 +84,13 @@ def encode_triangle(tiles: DataFrame) -> DataFrame:
     return rows.withColumn("residual", wrap32(F.col("_d") - F.coalesce(F.lag("_d").over(_col()), F.lit(0)))).drop("_d")
 
 
+@_together
 def decode_triangle(tiles: DataFrame) -> DataFrame:
     along = tiles.withColumn("_s", F.sum(_long("residual")).over(_row().rowsBetween(*_UP_TO)))
     return along.withColumn("z", wrap32(F.sum("_s").over(_col().rowsBetween(*_UP_TO)))).drop("_s")
 
 
+@_together
 def encode_with_nulls(tiles: DataFrame) -> DataFrame:
     """Differencing that starts anew, from the seed, after each null.
 
@@ -84,6 +104,7 @@ def encode_with_nulls(tiles: DataFrame) -> DataFrame:
     return t.withColumn("residual", F.when(F.col("z").isNotNull(), wrap32(z - F.coalesce("_prior", F.col("seed").cast("long"))))).drop("_prior")
 
 
+@_together
 def decode_with_nulls(tiles: DataFrame) -> DataFrame:
     """From residual (null where z was) and seed."""
     res, seed = _long("residual"), _long("seed")
@@ -105,10 +126,11 @@ DECODERS = {"differencing": decode_differencing, "linear": decode_linear, "trian
 
 #: Offsets (row, column) of the twelve neighbours of the least-squares predictor, nearest first.
 NEIGHBOURS = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (-1, 2), (0, -2), (-1, -2), (-2, -2), (-2, -1), (-2, 0), (-2, 1), (-2, 2))
-#: Those of the smaller one: the causal neighbours within two rows and columns but the outermost.
-NEIGHBOURS_8 = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, -2), (-1, -2), (-2, -1), (-2, 0))
+#: Those of the smaller one: what lies above, to the left and between, within two rows and columns; none to the right.
+NEIGHBOURS_8 = ((0, -1), (-1, -1), (-1, 0), (0, -2), (-1, -2), (-2, -2), (-2, -1), (-2, 0))
 
 
+@_together
 def neighbour_moments(tiles: DataFrame) -> DataFrame:
     """tile_index, i, j, moment: sums of products of neighbours i and j (0 is the cell itself) over interior cells.
 

@@ -17,9 +17,47 @@ def scan(cells: DataFrame, element: str = "z") -> DataFrame:
     return cells.agg(F.count(valid).alias("n"), F.avg(valid).alias("mean"), F.min(valid).alias("least"), F.max(valid).alias("most"), F.sum(valid).alias("total"))
 
 
-def exact_sum(df: DataFrame, element: str = "z", scale: int = 18) -> DataFrame:
-    """A sum whose result doesn't depend on order: terms as decimals of `scale` places."""
-    return df.agg(F.sum(F.col(element).cast(f"decimal(38,{scale})")).cast("double").alias("total"), F.count(element).alias("n"))
+def exact_sum(df: DataFrame, element: str = "z") -> DataFrame:
+    """total, n: the sum of doubles as if with unlimited digits, rounded once, whatever the order; NaNs and nulls are left out.
+
+    Terms are whole numbers times a power of two; those of one power are added up as integers, in
+    two halves, task by task, then by power (2,100 at most, which one task puts together).
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def split(batches):
+        for b in batches:
+            z = b.column(0).drop_null().to_numpy()
+            z = z[~np.isnan(z)]
+            odd = z[np.isinf(z)]
+            part, power = np.frexp(z[~np.isinf(z)])
+            whole = (part * (1 << 53)).astype(np.int64)
+            powers, at = np.unique(power, return_inverse=True)
+            high, low = np.zeros(len(powers), np.int64), np.zeros(len(powers), np.int64)
+            np.add.at(high, at, whole >> 27)
+            np.add.at(low, at, whole & ((1 << 27) - 1))
+            n = np.bincount(at, minlength=len(powers))
+            yield pa.record_batch([pa.array([*powers.tolist(), None]), pa.array([*high.tolist(), 0]), pa.array([*low.tolist(), 0]), pa.array([*n.tolist(), len(odd)]), pa.array([0.0] * len(powers) + [float(odd.sum())])], schema=pa.schema([("power", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("n", pa.int64()), ("odd", pa.float64())]))
+
+    def put_together(batches):
+        from fractions import Fraction
+
+        total, n, odd = Fraction(0), 0, 0.0
+        for b in batches:
+            for r in b.to_pylist():
+                n, odd = n + r["n"], odd + r["odd"]
+                if r["power"] is not None:
+                    total += Fraction(int(r["high"]) * (1 << 27) + int(r["low"])) * Fraction(2) ** (r["power"] - 53)
+        try:
+            value = float(total)
+        except OverflowError:
+            value = float("inf") if total > 0 else float("-inf")
+        yield pa.record_batch([pa.array([odd if odd else value if n else None], pa.float64()), pa.array([n], pa.int64())], names=["total", "n"])
+
+    parts = df.select(F.col(element).cast("double")).mapInArrow(split, "power long, high long, low long, n long, odd double")
+    sums = parts.groupBy("power").agg(*(F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "low")), F.sum("n").alias("n"), F.sum("odd").alias("odd"))
+    return sums.coalesce(1).mapInArrow(put_together, "total double, n long")
 
 
 def tile_report(cells: DataFrame, spec: Spec, element: str = "z") -> DataFrame:
@@ -65,6 +103,29 @@ def float_bits(df: DataFrame, element: str = "z") -> DataFrame:
     return df.select(F.col(element).cast("float").alias(element)).mapInArrow(view, f"`{element}` float, bits int")
 
 
+def histogram_mean(counts: DataFrame, scale: float) -> DataFrame:
+    """n, mean of what a histogram of floor(z * scale) counts, each value at the middle of its bin."""
+    return counts.agg(F.sum("n").alias("n"), (F.sum((F.col("bin") + 0.5) * F.col("n")) / F.sum("n") / scale).alias("mean"))
+
+
+SHAPES = ("row_major", "column_major", "row_block", "tile_block", "tile_load")
+
+
+def scan_shape(cells: DataFrame, spec: Spec, shape: str, element: str = "z") -> DataFrame:
+    """shape, reads, n, total: a full scan by rows, columns, rows of tiles, tiles' cells, or stored tiles; reads: how many pieces it takes."""
+    from tessera.operators.cells import tile_form
+
+    z = F.col(element)
+    if shape == "tile_load":
+        tiles = tile_form(cells, spec, element)
+        each = tiles.select(F.size(F.filter("values", lambda v: v.isNotNull())).alias("n"), F.aggregate("values", F.lit(0.0), lambda a, v: a + F.coalesce(v.cast("double"), F.lit(0.0))).alias("total"))
+    else:
+        row, col = F.col("row"), F.col("col")
+        key = {"row_major": [row], "column_major": [col], "row_block": [grid.tile_row(spec, row)], "tile_block": [grid.tile_row(spec, row), grid.tile_col(spec, col)]}[shape]
+        each = cells.filter(z.isNotNull()).groupBy(*key).agg(F.count(z).alias("n"), F.sum(z.cast("double")).alias("total"))
+    return each.agg(F.count("*").alias("reads"), F.sum("n").cast("long").alias("n"), F.sum("total").alias("total")).select(F.lit(shape).alias("shape"), "reads", "n", "total")
+
+
 def histogram(df: DataFrame, z: Column, scale: float) -> DataFrame:
     """Counts of floor(z * scale)."""
     return df.filter(z.isNotNull()).groupBy(F.floor(z.cast("double") * scale).cast("long").alias("bin")).agg(F.count("*").alias("n"))

@@ -36,8 +36,11 @@ def dilate(cells: DataFrame, blank: int, passes: int = 1, rgb: str = "rgb", chec
     """Blank cells take the first colour among their eight neighbours, row by row, `passes` times.
 
     A pass sends each coloured cell to its neighbours and keeps the first for each blank
-    one; only cells next to a colour get several rows, eight at most.
+    one; only cells next to a colour get several rows, eight at most.  A pass uses its cells
+    twice, so more than `checkpoint_every` passes need a checkpoint folder.
     """
+    if passes > checkpoint_every and not cells.sparkSession.sparkContext.getCheckpointDir():
+        raise ValueError("set a checkpoint folder for so many passes")
     around = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
     for i in range(passes):
         offer = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c")) for k, (r, c) in enumerate(around))))
@@ -45,6 +48,6 @@ def dilate(cells: DataFrame, blank: int, passes: int = 1, rgb: str = "rgb", chec
         sent = sent.select((F.col("row") - F.col("o.r")).alias("row"), (F.col("col") - F.col("o.c")).alias("col"), F.struct(F.col("o.k").alias("k"), F.col(rgb).alias("v")).alias("s"))
         first = sent.groupBy("row", "col").agg(F.min("s").alias("s"))
         cells = cells.join(first, ["row", "col"], "left").withColumn(rgb, F.when(F.col(rgb) == blank, F.coalesce("s.v", rgb)).otherwise(F.col(rgb))).drop("s")
-        if (i + 1) % checkpoint_every == 0 and cells.sparkSession.sparkContext.getCheckpointDir():
+        if (i + 1) % checkpoint_every == 0 and i + 1 < passes:
             cells = cells.checkpoint()
     return cells

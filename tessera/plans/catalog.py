@@ -151,9 +151,9 @@ def minmax_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query("SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(38, 6))) AS DOUBLE) AS total, count(l_extendedprice) AS n FROM lineitem")
+@query("SELECT CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(38, 6))) * 100 + 0.5) AS BIGINT) AS cents, count(l_extendedprice) AS n FROM lineitem")
 def exact_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.exact_sum(table(spark, sf_dir, "lineitem"), "l_extendedprice", 6)
+    return stats.exact_sum(table(spark, sf_dir, "lineitem"), "l_extendedprice").select(F.floor(F.col("total") * 100 + 0.5).alias("cents"), "n")
 
 
 _GEO = Spec(40, 50).geographic(-39, -98, 39, 98)
@@ -521,34 +521,33 @@ SELECT tile_index, r, c, {wrapped_sql('d - coalesce(lag(d) OVER (PARTITION BY ti
 _residual_query("triangle", "0")
 ORACLE_SQL["pred_triangle"] = ORACLE_SQL_TRIANGLE
 
-_SPARSE_SQL = f"""{ITEMS_SQL}, n AS (SELECT DISTINCT row // {_R} AS tr, col // {_C} AS tc FROM i),
+_SPARSE_SQL = f"""{ITEMS_SQL}, n AS (SELECT DISTINCT row // {_R} AS tr, col // {_C} AS tc FROM i), w AS (SELECT max(col) // {_C} + 1 AS across FROM i),
 f AS (SELECT CAST(tr * {_R} + r AS INTEGER) AS row, CAST(tc * {_C} + c AS INTEGER) AS col FROM n, range(0, {_R}) a(r), range(0, {_C}) b(c)),
-t AS (SELECT CAST(row // {_R} * 64 + col // {_C} AS INTEGER) AS tile_index, CAST(row % {_R} AS INTEGER) AS r, CAST(col % {_C} AS INTEGER) AS c, i.z AS z FROM f LEFT JOIN i USING (row, col)),
+t AS (SELECT CAST(row // {_R} * across + col // {_C} AS INTEGER) AS tile_index, CAST(row % {_R} AS INTEGER) AS r, CAST(col % {_C} AS INTEGER) AS c, i.z AS z FROM f CROSS JOIN w LEFT JOIN i USING (row, col)),
 p AS (SELECT *, CASE WHEN c > 0 THEN lag(z) OVER (PARTITION BY tile_index, r ORDER BY c) ELSE lag(z) OVER (PARTITION BY tile_index, c ORDER BY r) END AS prior FROM t),
 s AS (SELECT *, CAST(floor(avg(CASE WHEN z IS NOT NULL AND prior IS NULL THEN z END) OVER (PARTITION BY tile_index) + 0.5) AS INTEGER) AS seed FROM p)"""
 
 
-def _sparse_spec(i: DataFrame) -> Spec:
-    """Tiles of _R x _C that hold all cells: 64 across, as in the twin, or as many more as the columns need."""
+def _sparse_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of _R x _C, as many as the cells need; a tile is one row."""
+    i = items(spark, sf_dir)
     m = i.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
-    return Spec((m.r // _R + 1) * _R, max(64, m.c // _C + 1) * _C, _R, _C)
+    return cells.tile_form(i, Spec((m.r // _R + 1) * _R, (m.c // _C + 1) * _C, _R, _C), "z")
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = items(spark, sf_dir)
-    spec = _sparse_spec(i)
-    dense = cells.densify(spark, i, spec)
-    return dense.select("tile_index", F.floor(F.col("index_in_tile") / _C).cast("int").alias("r"), (F.col("index_in_tile") % _C).cast("int").alias("c"), "z")
+def _by_cell(tiles: DataFrame, values: str, name: str, *others: str) -> DataFrame:
+    each = tiles.select("tile_index", *others, F.posexplode(values).alias("i", name))
+    return each.select("tile_index", F.floor(F.col("i") / _C).cast("int").alias("r"), (F.col("i") % _C).cast("int").alias("c"), *others, name)
 
 
 @query(f"WITH {_SPARSE_SQL} SELECT tile_index, r, c, seed, CAST(z - coalesce(prior, seed) AS INTEGER) AS residual FROM s")
 def pred_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictors.encode_with_nulls(_sparse(spark, sf_dir)).select("tile_index", "r", "c", "seed", "residual")
+    return _by_cell(codecs.tile_residuals(_sparse_tiles(spark, sf_dir), (_R, _C)), "residuals", "residual", "seed")
 
 
 @query(f"WITH {_SPARSE_SQL} SELECT tile_index, r, c, z FROM t")
 def decode_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictors.decode_with_nulls(pred_nulls(spark, sf_dir)).select("tile_index", "r", "c", "z")
+    return _by_cell(codecs.tile_restored(codecs.tile_residuals(_sparse_tiles(spark, sf_dir), (_R, _C)), (_R, _C)), "values", "z")
 
 
 @query(f"""WITH {EMBED_INT_SQL}, {_TILED_SQL}, r AS (SELECT z - coalesce(CASE WHEN c > 0 THEN lag(z) OVER a ELSE lag(z) OVER b END, 0) AS v FROM t {_WIN}),
@@ -616,13 +615,18 @@ def float_codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tile_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed, _ = _packed(spark, sf_dir)
-    return codecs.shortest(packed).select("tile_index", "element", "codec", "checksum")
+    return codecs.sealed(codecs.shortest(packed)).select("tile_index", "element", "codec", "checksum")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS damaged")
+@query(f"WITH {EMBED_INT_SQL}, {_TILED_SQL} SELECT DISTINCT tile_index, 'z' AS element FROM t WHERE tile_index % 3 = 0")
 def inspect_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third tile's packing gets another last byte after it was sealed; the inspection finds just these."""
     packed, _ = _packed(spark, sf_dir)
-    return codecs.damaged(codecs.shortest(packed)).agg(F.count("*").alias("damaged"))
+    kept = codecs.sealed(codecs.shortest(packed))
+    size = F.length("packing")
+    other = F.when(F.expr("substring(packing, -1, 1)") == F.unhex(F.lit("00")), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))
+    broken = F.concat(F.expr("substring(packing, 1, length(packing) - 1)"), other)
+    return codecs.damaged(kept.withColumn("packing", F.when((F.col("tile_index") % 3 == 0) & (size > 0), broken).otherwise(F.col("packing"))))
 
 
 @query()

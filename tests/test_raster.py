@@ -367,3 +367,67 @@ def test_statistics(spark):
     spec = stats.downsampled_spec(Spec(10, 9).cartesian_cells(0, 0, 1, 2), 3)
     assert (spec.n_rows, spec.n_cols, spec.x0, spec.y0, spec.cell_x) == (3, 3, 1, 2, 3)
     assert stats.exact_sum(spark.createDataFrame([(0.1,)] * 10, "z double")).first().total == 1.0
+
+
+def test_store_opens_under_another_registry(spark, tmp_path):
+    cells_ = spark.range(400).select(F.floor(F.col("id") / 20).cast("int").alias("row"), (F.col("id") % 20).cast("int").alias("col"), (F.col("id") * 7 % 50).cast("int").alias("z"))
+    spec = Spec(20, 20, 10, 10, (Element("z"),), compressed=True)
+    path = str(tmp_path / "r")
+    store.create(path, Raster(spec, cells_), registry=codecs.default_registry(True))
+    assert store.codecs_of(spark, path)[:2] == ["huffman@1", "deflate@1"] and len(store.codecs_of(spark, path)) == 6
+    other = codecs.Registry(**dict(reversed(codecs.default_registry(True).codecs.items())), raw2=codecs.Deflate(1))
+    assert sorted(map(tuple, store.open_(spark, path, other).cells.collect())) == sorted(map(tuple, cells_.collect()))
+    used = {store.codecs_of(spark, path)[r[0]].split("@")[0] for r in spark.read.parquet(f"{path}/tiles").select("codec_index").distinct().collect()}
+    lacking = codecs.default_registry(True)
+    for name in used:
+        lacking.remove(name)
+    with pytest.raises(Exception, match="no codec"):
+        store.open_(spark, path, lacking).cells.collect()
+    some = store.open_rows(spark, path, 12, 14)
+    assert sorted(map(tuple, some.collect())) == sorted(tuple(r) for r in cells_.collect() if 12 <= r.row <= 14)
+    assert "tile_row" in some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:120]
+    who = store.identity(spark, path)
+    assert len(who["uuid"]) == 36 and who["created"] == who["modified"]
+
+
+def test_smaller_least_squares_stencil():
+    rng = np.random.default_rng(3)
+    codec = codecs.LeastSquares(predictors.NEIGHBOURS_8, 4)
+    assert codec.ahead == 0 and (-2, -2) in codec.neighbours and (-1, 1) not in codec.neighbours
+    # A field in which each cell is a fixed mean of two of the eight neighbours: these coefficients come back.
+    z = rng.integers(-1000, 1000, (30, 40)).astype(np.int64) * 1024
+    for r in range(2, 30):
+        for c in range(2, 40):
+            z[r, c] = 3 * z[r - 2, c - 2] // 4 + z[r, c - 1] // 4 + rng.integers(-3, 4)
+    k = codec.coefficients(z.astype(np.int32))
+    expected = np.array([{(0, -1): 0.25, (-2, -2): 0.75}.get(n, 0.0) for n in predictors.NEIGHBOURS_8])
+    assert np.abs(k - expected).max() < 1e-3
+    r, c = codec._inside(z.shape)
+    assert c.max() == 39 and (codec.decode(codec.encode(z.astype(np.int32)), z.shape) == z).all()
+
+
+def test_checksums_side_by_side():
+    rng = np.random.default_rng(1)
+    data = [rng.bytes(int(n)) for n in rng.integers(0, 90, 50)] + [b"", b"123456789"]
+    assert bits.crc32c_all(data) == [bits.crc32c_bytes(d) for d in data] and bits.crc32c_all(data)[-1] == 0xE3069283
+
+
+def test_exact_sum_is_exact(spark):
+    z = [1e30, 1.0, -1e30, 1e-30, 5e-324, 2.0**1000, -(2.0**1000), None, float("nan"), 0.1, 0.1, 0.1]
+    one = lambda v: tuple(stats.exact_sum(spark.createDataFrame([(x,) for x in v], "z double")).first())
+    assert one(z) == (math.fsum(x for x in z if x is not None and x == x), 10)
+    assert one([float("inf"), 1.0]) == (float("inf"), 2) and one([None]) == (None, 0)
+
+
+def test_patch_with_repeated_cells(spark):
+    base, patch = spark.createDataFrame([(0, 0, 1)], "row int, col int, z int"), spark.createDataFrame([(0, 0, 5), (0, 0, 7), (0, 0, None), (1, 1, 2)], "row int, col int, z int")
+    assert sorted(map(tuple, cells.upsert(base, patch).collect())) == [(0, 0, 7), (1, 1, 2)]
+
+
+def test_sparse_tiles_are_linear(spark):
+    import time
+
+    big = spark.range(40_000).select(F.floor(F.col("id") / 200).cast("int").alias("row"), (F.col("id") % 200).cast("int").alias("col"), F.col("id").cast("int").alias("z")).filter("z % 3 <> 1")
+    began = time.time()
+    (tile,) = cells.tile_form(big, Spec(200, 200, 200, 200), "z").collect()
+    assert tile["values"] == [i if i % 3 != 1 else None for i in range(40_000)] and time.time() - began < 30
