@@ -118,10 +118,10 @@ def bitmap(df: DataFrame, column: str, bits: int) -> bytes:
     return marks.tobytes()
 
 
-def in_batches(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of text, one row at least."""
+def in_batches(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20, column: str | None = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `limit` bytes of text (None: the last column), one row at least."""
     for batch in batches:
-        k = batch.schema.get_field_index(column)
+        k = batch.schema.get_field_index(column) if column else batch.num_columns - 1
         start = 0
         while start < batch.num_rows:
             end, total = start, 0

@@ -173,17 +173,18 @@ def train(texts: DataFrame, alphabet: int | None = None) -> Model:
     return Model(chosen, base, done)
 
 
-def _score(shared):
+def _score(shared, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = shared.value
         table = symbol_table(grams.alphabet)
-        for batch in in_batches(batches, TEXT, "text"):
-            parts = [ngrams(text or "", table, grams.base) for text in batch.column("text").to_pylist()]
+        for batch in in_batches(batches, TEXT, None):
+            parts = [ngrams(text or "", table, grams.base) for text in batch.column(batch.num_columns - 1).to_pylist()]
             size = np.array([len(last) for _, last in parts], np.int64)
             context, last, at = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)), grams.base)
             logs = grams.log_probabilities(context, last)[at]
             loss = [-float(x.sum()) for x in np.split(logs, np.cumsum(size)[:-1])]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(loss, pa.float64()), pa.array(size, pa.int64())], names=[*batch.schema.names[:-1], "loss", "size"])
+            n = batch.num_columns - (not keep)
+            yield pa.record_batch([*batch.columns[:n], pa.array(loss, pa.float64()), pa.array(size, pa.int64())], names=[*batch.schema.names[:n], "loss", "size"])
 
     return run
 
@@ -227,13 +228,16 @@ def trusted_rows(docs: DataFrame, trusted: DataFrame, column: str = "doc_id") ->
     return docs.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with its last column, a text, replaced by loss (nats) and size (characters)."""
+def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
+    """docs with its last column, a text, replaced (or, to keep it, followed) by loss (nats) and size (characters)."""
     if model.size > BROADCAST_GRAMS:
-        return _joined(docs, model)
+        if keep:
+            name = docs.columns[-1]
+            docs = docs.withColumn("_scored", F.col(f"`{name}`"))
+        return _joined(docs.toDF(*docs.columns[:-1], "text"), model)
     shared = docs.sparkSession.sparkContext.broadcast(model.grams())
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(_score(shared), f"{kept}, loss double, size long")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(docs.columns) - (not keep)])
+    return docs.mapInArrow(_score(shared, keep), f"{kept}, loss double, size long")
 
 
 def _spread(good: DataFrame, quantile: float, least: int) -> DataFrame:
@@ -315,6 +319,10 @@ def judge(docs: DataFrame, trusted: DataFrame, **settings: float) -> DataFrame:
 def keep(docs: DataFrame, trusted: DataFrame, **settings: float) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
     by = Judge(docs, trusted, **settings)
-    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    scored = by.limited(score(own, by.model)).filter(_mean() <= F.col("limit"))
-    return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    text = docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    lang = F.col(names[docs.columns.index("lang")]).cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    # The text comes last and goes through the model once.
+    own = docs.toDF(*names).select(*(n for n in names if n != names[text]), lang.alias("lang"), F.col(names[text]).cast("string").alias(names[text]))
+    scored = by.limited(score(own, by.model, keep=True)).filter(_mean() <= F.col("limit"))
+    return scored.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
