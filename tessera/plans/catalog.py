@@ -662,3 +662,6 @@ def raster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.summary(Raster(spec_of(i, 50, 20), i))
 
 
+
+
+from tessera.plans import more  # noqa: E402, F401  registers further queries
