@@ -7,8 +7,8 @@ for a piece vocabulary in which no piece has a word boundary after its first oth
 character and none contains a line feed; `boundaries_hold` checks the vocabulary.
 
 Plan.  One scan counts pre-tokens per task and keeps what is frequent there; the sums
-give a head of at most `head` pre-tokens (a fixed bound, so it is broadcast with its
-piece counts).  A second scan resolves each document's head pre-tokens on the spot and
+give a head of at most `head` pre-tokens of at most LONGEST characters (a fixed bound of
+bytes, so it is broadcast with its piece counts).  A second scan resolves each document's head pre-tokens on the spot and
 emits (pre-token, document, frequency) for the others only.  Those are shuffled by
 pre-token, each distinct one is encoded once, and the products are summed per document.
 The choice of head moves work, never results.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import pick
 
 BOUNDARY = "▁"
+#: Characters of the longest pre-token that the head can hold.
+LONGEST = 64
 UNIT = re.compile(r" *[^ \n]+| +")
 _loaded: dict = {}
 
@@ -76,7 +78,7 @@ def _frequent(least: int, most: int):
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            kept = [(u, n) for u, n in seen.items() if n >= least]
+            kept = [(u, n) for u, n in seen.items() if n >= least and len(u) <= LONGEST]
             seen.clear()
             return pa.record_batch([pa.array([u for u, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["unit", "n"])
 
@@ -112,7 +114,8 @@ def _resolve(shared, path: str):
                 names=_PARTS,
             )
             none = pa.nulls(len(of), pa.int64())
-            yield pa.record_batch([batch.column(0).take(pa.array(of, pa.int32())), none, none, none, pa.array(rest, pa.string()), pa.array(times, pa.int64())], names=_PARTS)
+            at = pa.array(of, pa.int32())
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), none, none, pa.array(rest, pa.string()), pa.array(times, pa.int64())], names=_PARTS)
 
     return run
 
@@ -150,17 +153,19 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, head: int = 1 <<
     if not boundaries_hold(path):
         raise ValueError("this vocabulary has pieces that cross word boundaries")
     spark = docs.sparkSession
+    # Rows are named by content, so that a recomputed task gives the same names; equal rows share theirs, and their sum.
     own = pick(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     frequent = own.select("text").mapInArrow(_frequent(8, 1 << 20), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     top = [r.unit for r in frequent.orderBy(F.desc("n"), "unit").limit(head).collect()]  # at most `head` short strings
     shared = spark.sparkContext.broadcast(dict(zip(top, count_pieces(path, top), strict=True)))
     return (
-        own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        own.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
         .mapInArrow(_resolve(shared, path), "row long, doc_id long, n_bytes long, known long, unit string, times long")
         .repartition(F.coalesce("unit", F.col("row").cast("string")))
         .sortWithinPartitions("unit")
         .mapInArrow(_encode_sorted(path), "row long, doc_id long, n_bytes long, known long")
-        .groupBy("row")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("known").alias("n_tokens"))
+        .groupBy("row", "doc_id")
+        .agg(F.max("n_bytes").alias("n_bytes"), F.sum("known").alias("known"), F.count("n_bytes").alias("copies"))
+        .select("doc_id", "n_bytes", F.expr("known div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
