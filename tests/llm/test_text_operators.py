@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import re
 import zlib
@@ -60,10 +61,37 @@ def test_packing_round_trip(spark):
     assert got(packing.pack(data.empty(spark), WORD_BPE)) == []
 
 
-def test_sweep_fills_whole_sequences():
-    for counts in ({8: 3, 5: 4, 3: 4, 1: 7}, {4096: 10, 1: 3}, {3: 100}, {7: 1}):
-        runs = sorted(packing.sweep(counts, 8 if max(counts) <= 8 else 4096))
-        assert sum(counts.values()) == sum(counts[s] for s in {r[0] for r in runs})
+def best_fit(sizes, capacity):
+    """Sequential best fit, largest first: the number of sequences."""
+    gaps = []
+    for size in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, size)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        if gap > size:
+            bisect.insort(gaps, gap - size)
+        else:
+            best_fit.full += 1
+    return len(gaps) + best_fit.full
+
+
+def test_sweep_equals_sequential_best_fit():
+    rng = np.random.default_rng(7)
+    for turn in range(120):
+        capacity = int(rng.choice([8, 64, 100, 4096]))
+        kind = turn % 4
+        n = int(rng.integers(1, 600))
+        sizes = rng.integers(1, capacity + 1, n) if kind == 0 else rng.integers(1, max(2, capacity // 3), n) if kind == 1 else np.minimum(capacity, 1 + rng.geometric(8 / capacity, n)) if kind == 2 else rng.choice(rng.integers(1, capacity + 1, 4), n)
+        counts = Counter(int(x) for x in sizes)
+        runs = packing.sweep(dict(counts), capacity)
+        used, placed = Counter(), Counter()
+        for size, rank, per, first, offset in runs:
+            number = min([r[1] for r in runs if r[0] == size and r[1] > rank] + [counts[size]]) - rank
+            for k in range(number):
+                placed[size] += 1
+                used[first + k // per] += size
+        best_fit.full = 0
+        assert placed == counts and max(used.values()) <= capacity
+        assert len(used) == best_fit(sizes.tolist(), capacity)
 
 
 def test_media_round_trip(spark):
