@@ -165,7 +165,7 @@ def normals(points: DataFrame, cells: DataFrame, spec: Spec, element: str = "z")
 
 
 def bilinear_rgb(points: DataFrame, cells: DataFrame, spec: Spec, rgb: str = "rgb") -> DataFrame:
-    """points with packed rgb: each channel bilinear, rounded half up."""
+    """points with packed rgb: each channel bilinear, rounded half up; what is within a billionth of a half is one."""
     s = _samples(neighbourhood(points, spec, 2), cells, spec, rgb, 2)
     u, v = F.col("u"), F.col("v")
 
@@ -175,7 +175,7 @@ def bilinear_rgb(points: DataFrame, cells: DataFrame, spec: Spec, rgb: str = "rg
             for i, b in enumerate((1 - u, u)):
                 c = F.shiftright(F.get(F.get("s", j), i).cast("int"), shift).bitwiseAND(255)
                 total = c * a * b if total is None else total + c * a * b
-        return F.floor(total + 0.5)
+        return F.floor(total + (0.5 + 1e-9))
 
     return s.withColumn(rgb, (channel(16) * 65536 + channel(8) * 256 + channel(0)).cast("int")).drop("s", "u", "v", "row0", "col0", "inside")
 

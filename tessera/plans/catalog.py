@@ -330,14 +330,16 @@ o AS (SELECT point_id, {sums}, count(s.z) AS n FROM w, range(0, 4) a(j), range(0
 SELECT point_id, {tail} FROM o WHERE n = 16"""
 
 
-_EMBED_POINTS = points_sql(500, 64)
+_EMBED_POINTS = """p AS (SELECT c_custkey AS point_id, (c_custkey * 7919 % (nr * 100 - 100)) / CAST(100 AS DOUBLE) AS grid_row, (c_custkey * 104729 % (nc * 100 - 100)) / CAST(100 AS DOUBLE) AS grid_col
+  FROM customer, (SELECT max(row) + 1 AS nr, max(col) + 1 AS nc FROM e))"""
 _GEN_POINTS = points_sql(40, 50)
 
 
 @query(_spline_sql(EMBED_SQL, "e", "max(row) + 1", "max(col) + 1", _EMBED_POINTS, {"z": (_w("v"), _w("u"))}, f"{micro_sql('z')} AS z"))
 def bspline_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embed(spark, sf_dir)
-    return interpolate.spline(points(spark, sf_dir, 500, 64), e, spec_of(e)).select("point_id", micro(F.col("z")).alias("z"))
+    spec = spec_of(e)
+    return interpolate.spline(points(spark, sf_dir, spec.n_rows, spec.n_cols), e, spec).select("point_id", micro(F.col("z")).alias("z"))
 
 
 @query(_spline_sql(GEN_SQL, "g", "max(row) + 1", "max(col) + 1", _GEN_POINTS, {"zx": (_w("v"), _w1("u", 0.1)), "zy": (_w1("v", 0.1), _w("u"))}, f"{micro_sql('zx')} AS zx, {micro_sql('zy')} AS zy"))
@@ -378,18 +380,13 @@ def bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolate.bilinear(points(spark, sf_dir, 40, 50), generated(spark), Spec(40, 50)).select("point_id", micro(F.col("z")).alias("z"))
 
 
-@query(f"""WITH {GEN_SQL}, {_GEN_POINTS}, c AS (SELECT row, col, CAST(row * 4 * 65536 + col * 4 * 256 + (row + col) * 2 AS INTEGER) AS rgb FROM g),
-h AS (SELECT *, CAST(least(floor(grid_row), 38) AS INTEGER) AS row0, CAST(least(floor(grid_col), 48) AS INTEGER) AS col0 FROM p)
-SELECT point_id, CAST(floor(grid_row * 4 + 0.5) * 65536 + floor(grid_col * 4 + 0.5) * 256 + floor((grid_row + grid_col) * 2 + 0.5) AS INTEGER) AS rgb FROM h
-WHERE abs(grid_row * 4 % 1 - 0.5) > 0.01 AND abs(grid_col * 4 % 1 - 0.5) > 0.01 AND abs((grid_row + grid_col) * 2 % 1 - 0.5) > 0.01""")
+@query(f"""WITH {_GEN_POINTS}
+SELECT point_id, CAST(floor(grid_row * 4 + 0.5 + 1e-9) * 65536 + floor(grid_col * 4 + 0.5 + 1e-9) * 256 + floor((grid_row + grid_col) * 2 + 0.5 + 1e-9) AS INTEGER) AS rgb FROM p""")
 def bilinear_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours that are linear in the grid, so that the answer is known; points without ties."""
+    """Colours that are linear in the grid, so that the answer is known."""
     r, c = F.col("row"), F.col("col")
     g = generated(spark).select("row", "col", (r * 4 * 65536 + c * 4 * 256 + (r + c) * 2).cast("int").alias("rgb"))
-    p = points(spark, sf_dir, 40, 50)
-    for x in (F.col("grid_row") * 4, F.col("grid_col") * 4, (F.col("grid_row") + F.col("grid_col")) * 2):
-        p = p.filter(F.abs(x % 1 - 0.5) > 0.01)
-    return interpolate.bilinear_rgb(p, g, Spec(40, 50)).select("point_id", "rgb")
+    return interpolate.bilinear_rgb(points(spark, sf_dir, 40, 50), g, Spec(40, 50)).select("point_id", "rgb")
 
 
 @query(f"""WITH {GEN_SQL} SELECT row, col, col / CAST(10 AS DOUBLE) - 2.5 AS x, row / CAST(10 AS DOUBLE) - 2 + CASE WHEN row = col THEN 0.25 ELSE 0 END AS y FROM g WHERE row = col""")
