@@ -103,7 +103,7 @@ def _around(shared, length: int):
         marks = np.frombuffer(shared.value, np.uint8)
         side = length - GRAM
         width = 2 * side + GRAM
-        for batch in in_batches(batches):
+        for batch in in_batches(batches, 4 << 20):
             grams, keys, docs, starts, ends, bytes_ = [], [], [], [], [], []
             for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
@@ -129,7 +129,7 @@ def _around(shared, length: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram, in blocks of whole grams of about so many rows."""
     held: list[pa.RecordBatch] = []
     count = 0
