@@ -15,8 +15,9 @@ the string alone decides.  So equal strings hold equal cover grams at equal plac
 3. Where a string has an earlier document, its span is sent to its document, and the
    spans' union is cut.
 
-A gram with more than `HOT` rows isn't gathered: its strings are hashed and reduced to
-their least document by a combining aggregate.
+A gram with more than `HOT` rows isn't gathered, and its rows aren't shuffled.  Two more scans
+of the texts do its strings: one reduces them by hash to their least and greatest document,
+in each task and then over all; the other looks up those of several documents.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bitmap, in_batches, materialize, pick
 
 #: Bytes of a gram; rows of a gram that one task takes; bits of the tables that name shared grams and cut documents (fixed).
-GRAM, HOT, SHARED, CUT = 20, 500_000, 1 << 26, 1 << 24
+GRAM, HOT, SHARED, CUT = 20, 50_000, 1 << 26, 1 << 24
+#: Grams that are treated as hot at most, the most frequent ones, and strings of theirs up to which a table is broadcast; beyond, strings are joined by shuffle.
+BROADCAST_HOT, BROADCAST_STRINGS = 1_000_000, 2_000_000
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=1) for i in range(256)], np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,11 +99,93 @@ def _ranked(length: int):
     return run
 
 
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of _P and of its inverse
+
+
+def _strings(data: bytes, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the strings of `length` bytes that hold a hot gram of the cover, and their hashes."""
+    at, h = cover(data, length)
+    at = at[_among(h, hot)]
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    n = len(data)
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, np.maximum(at - (length - GRAM), 0), 1)
+    np.add.at(edge, np.minimum(at, n - length) + 1, -1)
+    starts = np.flatnonzero(edge.cumsum() > 0)
+    if len(_powers[0]) < n:
+        for i, p in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
+            _powers[i] = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, p, np.uint64)])
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[np.frombuffer(data, np.uint8)] * _powers[1][:n])]
+    return starts, _mixed((sums[starts + length] - sums[starts]) * _powers[0][starts])
+
+
+def _hot_reduced(shared, length: int):
+    """h, first, last: the least and greatest document of each string that holds a hot gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_batches(batches, 4 << 20):
+            found = [(doc, np.unique(_strings(text.as_py().encode("utf-8", "surrogatepass"), shared.value, length)[1])) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            h, d = np.concatenate([x for _, x in found]), np.repeat([doc for doc, _ in found], [len(x) for _, x in found])
+            if not len(h):
+                continue
+            order = np.argsort(h, kind="stable")
+            h, d = h[order].view(np.int64), d[order]
+            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            yield pa.record_batch([pa.array(h[at]), pa.array(np.minimum.reduceat(d, at)), pa.array(np.maximum.reduceat(d, at))], names=["h", "first", "last"])
+
+    return run
+
+
+def _hot_looked_up(shared, length: int):
+    """Spans of strings with a hot gram that a table (sorted hashes, least documents) gives an earlier document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, known, least = shared.value
+        for batch in in_batches(batches, 4 << 20):
+            keys, begins, ends = [], [], []
+            for key, doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
+                starts, h = _strings(text.as_py().encode("utf-8", "surrogatepass"), hot, length)
+                if not len(starts):
+                    continue
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                starts = starts[(known[at] == h) & (least[at] < doc)]
+                if len(starts):
+                    new = np.flatnonzero(np.r_[True, np.diff(starts) > length])
+                    keys.append(np.full(len(new), key))
+                    begins.append(starts[new])
+                    ends.append(starts[np.r_[new[1:] - 1, len(starts) - 1]] + length)
+            if keys:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in (keys, begins, ends)], names=["key", "begin", "end"])
+
+    return run
+
+
+def _hot_listed(shared, length: int):
+    """key, doc_id, begin, h of every string that holds a hot gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_batches(batches, 1 << 20):
+            for key, doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
+                starts, h = _strings(text.as_py().encode("utf-8", "surrogatepass"), shared.value, length)
+                if len(starts):
+                    yield pa.record_batch([pa.array(np.full(len(h), key)), pa.array(np.full(len(h), doc)), pa.array(starts), pa.array(h.view(np.int64))], names=["key", "doc_id", "begin", "h"])
+
+    return run
+
+
 def _around(shared, length: int):
     """For each shared gram: the bytes that strings holding it can have, 0 beyond the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.frombuffer(shared.value, np.uint8)
+        marks, hot = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
         side = length - GRAM
         width = 2 * side + GRAM
         for batch in in_batches(batches, 4 << 20):
@@ -110,6 +195,7 @@ def _around(shared, length: int):
                 at, h = cover(data, length)
                 cell = h % np.uint64(SHARED)
                 keep = (marks[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep &= ~_among(h, hot)
                 at, h = at[keep], h[keep]
                 if not len(at):
                     continue
@@ -201,12 +287,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _hot_spans(rows: DataFrame, length: int) -> DataFrame:
-    """As _earlier, for grams whose rows no task should gather."""
-    side = length - GRAM
-    placed = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(side)))).filter(F.expr(f"at >= o and at - o + {length} <= size"))
-    strings = placed.select("key", "doc_id", F.expr("at - o").alias("begin"), F.expr(f"xxhash64(substring(around, {side} - o + 1, {length}), gram)").alias("h"))
-    least = strings.groupBy("h").agg(F.min("doc_id").alias("least"))
+def _hot_spans(rows: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
+    """As _earlier, for grams (a sorted array) whose rows no task should gather.  rows: key, doc_id, text."""
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast(hot)
+    parts = rows.select("doc_id", "text").mapInArrow(_hot_reduced(shared, length), "h long, first long, last long")
+    parts = parts.groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    least = materialize(parts.filter("first < last").select("h", F.col("first").alias("least")))
+    if least.count() <= BROADCAST_STRINGS:
+        table = least.toArrow()
+        known = table["h"].to_numpy().view(np.uint64)
+        order = np.argsort(known)
+        if not len(order):
+            return rows.sparkSession.createDataFrame([], "key long, begin long, end long")
+        return rows.mapInArrow(_hot_looked_up(sc.broadcast((hot, known[order], table["least"].to_numpy()[order])), length), "key long, begin long, end long")
+    strings = rows.mapInArrow(_hot_listed(shared, length), "key long, doc_id long, begin long, h long")
     return strings.join(least, "h").filter("doc_id > least").select("key", "begin", (F.col("begin") + length).alias("end"))
 
 
@@ -225,17 +320,13 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     ranks = long_.select("doc_id", "text").mapInArrow(_ranked(length), "gram long, first long, last long, n long")
     ranks = ranks.groupBy("gram").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
     common = materialize(ranks.filter("first < last").select("gram", "n"))
-    marks = sc.broadcast(bitmap(common, "gram", SHARED))
-    around = long_.select("key", "doc_id", "text").mapInArrow(_around(marks, length), "gram long, key long, doc_id long, at long, size long, around binary")
-    hot = common.filter(F.col("n") > HOT).select("gram")
-    few = hot.limit(100_001).count()
-    rest = around
-    if few:
-        hot = F.broadcast(hot) if few <= 100_000 else hot
-        rest = around.join(hot, "gram", "left_anti")
+    frequent = common.filter(F.col("n") > HOT).orderBy(F.desc("n"), "gram").limit(BROADCAST_HOT).select("gram").toArrow()
+    hot = np.sort(frequent["gram"].to_numpy().view(np.uint64))
+    marks = sc.broadcast((bitmap(common, "gram", SHARED), hot))
+    rest = long_.select("key", "doc_id", "text").mapInArrow(_around(marks, length), "gram long, key long, doc_id long, at long, size long, around binary")
     spans = rest.repartition("gram").sortWithinPartitions("gram").mapInArrow(_earlier(length), "key long, begin long, end long")
-    if few:
-        spans = spans.unionByName(_hot_spans(around.join(hot, "gram", "left_semi"), length))
+    if len(hot):
+        spans = spans.unionByName(_hot_spans(long_.select("key", "doc_id", "text"), hot, length))
     spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("s")).select("key", F.col("s.begin").alias("begin"), F.col("s.end").alias("end")))
     touched = sc.broadcast(bitmap(spans, "key", CUT))
     return _joined(own, spans, touched).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -212,9 +212,10 @@ def cut_by_hand(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [500_000, 2])
-def test_repeats_equal_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot,strings", [(500_000, 0), (2, 1000_000), (2, 0)])
+def test_repeats_equal_brute_force(spark, hot, strings, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BROADCAST_STRINGS", strings)
     rows = data.rows(2) + [(2000, "ab" * 400, "en", "s", 0), (2001, "z" + "ab" * 60, "en", "s", 0), (2002, "q" * 49, "en", "s", 0), (2003, "q" * 49, "en", "s", 0)]
     docs = data.frame(spark, only=rows, clashing=True)
     assert by_row(repeats.cut_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut_by_hand(rows)
