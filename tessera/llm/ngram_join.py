@@ -528,19 +528,22 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows without a doc_id go if their component has one, and stay otherwise.
     """
     rows = materialize(near_duplicates(docs, width, percent).filter("n_shingles > 0"))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
     named = rows.withColumn("_key", F.xxhash64("doc_id", "text_key"))
     gone = named.filter("component_id is not null and not (doc_id <=> component_id)").select("_key").distinct()
     # What the smallest doc_id of a component has in several rows.
     twice = named.filter("doc_id = component_id").groupBy("component_id").agg(F.count("*").alias("n"), F.min("_key").alias("_key")).filter("n > 1")
     special = materialize(gone.withColumn("rows", F.lit(0)).unionByName(twice.select("_key", F.lit(1).alias("rows"))).unionByName(named.join(twice.select("component_id"), "component_id").filter("doc_id = component_id").select("_key", F.lit(0).alias("rows"))).groupBy("_key").agg(F.max("rows").alias("rows")))
     few = special.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    keyed = docs.withColumn("_key", key)
+    # The caller's columns by place, so that none has the name of the key.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names, strict=True))
+    key = F.xxhash64(F.col(place["doc_id"]).cast("long"), F.xxhash64(F.col(place["text"]).cast("string")))
+    keyed = docs.toDF(*names).withColumn("_key", key)
     rest = keyed.join(F.broadcast(special) if few else special, "_key", "left_anti")
     once = special.filter("rows = 1").select("_key")
     if once.take(1):
         rest = rest.unionByName(keyed.join(F.broadcast(once) if few else once, "_key", "left_semi").dropDuplicates(["_key"]))
-    return rest.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rest.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 #: The same in DuckDB, over all pairs that share a shingle.

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: The same with extra columns whose names the operators use themselves.
-CLASHING = T.StructType([*SCHEMA.fields, *(T.StructField(n, T.StringType()) for n in ("row", "key", "n", "size", "set_id", "unit", "begin", "loss", "copies", "token"))])
+CLASHING = T.StructType([*SCHEMA.fields, *(T.StructField(n, T.StringType()) for n in ("row", "key", "n", "size", "set_id", "unit", "begin", "loss", "copies", "token", "_key", "_all", "_scored", "c0", "c5", "k1", "base", "others", "limit", "rank"))])
 SYLLABLES = {"en": "the and ing tion er on th sh ly re ble of".split(), "fr": "éle eau oir ment que ré la è euxs pas".split(), "de": "sch ung ein über keit ge ß ver tz lich".split()}
 
 
@@ -43,7 +43,7 @@ def rows(seed=0, n=60):
 def frame(spark, seed=0, n=60, clashing=False, only=None):
     data = rows(seed, n) if only is None else only
     if clashing:
-        return spark.createDataFrame([(*r, *["clash"] * 10) for r in data], CLASHING)
+        return spark.createDataFrame([(*r, *["clash"] * (len(CLASHING) - len(SCHEMA))) for r in data], CLASHING)
     return spark.createDataFrame(data, SCHEMA)
 
 

@@ -277,3 +277,20 @@ def test_pipeline_stages(spark, tmp_path):
             at = spark.read.parquet(f"{tmp_path}/{i}")
             assert at.count(), name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+@pytest.mark.parametrize("kind", ["empty", "clashing"])
+def test_pipeline_stages_with_odd_tables(spark, tmp_path, kind):
+    docs = data.empty(spark) if kind == "empty" else data.frame(spark, n=40, clashing=True)
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        out = spark.read.parquet(f"{tmp_path}/{i}")
+        if i + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns, name
+            if kind == "clashing":
+                assert out.count() and all(v == "clash" for r in out.select("_key", "_all", "c0", "base").distinct().collect() for v in r), name
+        assert (out.count() == 0) == (kind == "empty"), name
+        at = out
