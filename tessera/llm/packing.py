@@ -1,37 +1,33 @@
 """Packing of tokenised documents into sequences of a fixed capacity, by best fit.
 
-Documents are cut into pieces of at most `capacity` tokens, so piece lengths and gaps
-are whole numbers from 1 to `capacity`, and pieces (or gaps) of one size are
-interchangeable.  The bulk-synchronous rounds therefore run over size classes: each
-round takes the largest class with unplaced pieces, sweeps the gaps upwards from the
-first that holds it (its successor), fills them, and opens new sequences for what is
-left.  Within a class conflicts are resolved by rank: piece number r of its class takes
-slot number r of the sweep.  The sweep's state has at most `capacity` classes of each
-kind, whatever the number of documents.
-
-The documents themselves stay distributed: they are range-sorted by size, ranked within
-their class by partition offsets, and each finds its slot by binary search.
+Documents are cut into pieces of at most `capacity` tokens.  Packing is bulk-synchronous
+best fit: documents and gaps are range-sorted by size, each range sweeps downwards and
+gives a document the smallest gap that holds it (its successor), documents that find none
+in their range take those that higher ranges have left, by their rank, gaps are updated,
+and the next round begins.  The driver sees one row for each range and the number of
+pieces of each size, never pieces or gaps.
 """
 
 from __future__ import annotations
 
-import heapq
 import os
 import struct
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, pick
+from tessera.llm.common import drop, materialize, new_path, pick
 
 #: Chunks, and words, whose ids a worker remembers, and the longest one remembered.
 CHUNKS, WORDS, LONGEST = 500_000, 1_000_000, 64
+#: Rows that a range of a sweep is to have.
+SWEEP_ROWS = 200_000
 #: The tokenizer's own words, fixed by its file.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: A byte's name in a byte-level vocabulary: itself if it can be printed, else the next free code point from 256.
@@ -122,60 +118,159 @@ def _pieces(path: str, capacity: int, end: int):
     return run
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Slots for counts[size] pieces of each size, largest first, each in the smallest gap
-    that holds it: (size, first rank, pieces per sequence, first sequence, offset).
-
-    A run of slots has `per` pieces in each of consecutive sequences; the next run of the
-    same size begins where its ranks end.
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The successor sweep of one range of sizes, downwards: a document takes the last slot passed, the smallest that holds it."""
+    found = list(batches)
+    if not found:
+        return
+    table = pa.Table.from_batches(found)
+    pair, left = np.full(table.num_rows, -1), np.full(table.num_rows, -1)
+    free: list[int] = []  # slots passed and not taken
+    wait = 0  # documents that need a slot of a higher range
+    for i, is_doc in enumerate(table["is_doc"].to_pylist()):
+        if not is_doc:
+            free.append(i)
+        elif free:
+            pair[i] = pair[free.pop()] = i
+        else:
+            left[i] = wait
+            wait += 1
+    left[free] = np.arange(len(free))
+    part = pa.array(np.full(table.num_rows, TaskContext.get().partitionId()), pa.int64())
+    out = table.append_column("part", part).append_column("pair", pa.array(pair, pa.int64())).append_column("left", pa.array(left, pa.int64()))
+    yield from out.to_batches()
+
+
+def across(parts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int]]]:
+    """The sweep over whole ranges: parts are (range, documents waiting, slots free), sizes downwards.
+
+    Returns (range, documents that get a slot), the first ones waiting, and (range of
+    slots, first, end, range of documents, first document): the slots from the last down
+    go to the documents from the first up.
     """
-    runs: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: (first sequence, number) of the sequences that have it
-    order: list[int] = []  # the gaps there are, ascending
-    opened = 0
-
-    def leave(gap: int, first: int, number: int) -> None:
-        if gap and number:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            heapq.heappush(gaps[gap], (first, number))
-
+    takes, runs, free = [], [], []
+    for part, wait, slots in parts:
+        taken = 0
+        while taken < wait and free:
+            of, first, end = free.pop()
+            n = min(wait - taken, end - first)
+            runs.append((of, end - n, end, part, taken))
+            taken += n
+            if end - n > first:
+                free.append((of, first, end - n))
+        takes.append((part, taken))
+        if slots:
+            free.append((part, 0, slots))
+    return takes, runs
+
+
+def _small(spark, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A table of whole numbers that the plan itself holds."""
+    columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+    return spark.createDataFrame(pa.table({n: pa.array(c) for n, c in zip(names, columns, strict=True)}))
+
+
+_PLACED = "length long, rank long, sequence_id long, offset long, kept boolean"
+_SWEPT = "is_doc boolean, size long, id long, slot long, part long, pair long, left long"
+
+
+def _round(docs: DataFrame, gaps: DataFrame, rows: int, capacity: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """One round: the documents (size, id) that get a slot of a gap are written to path; of
+    those that get slots of one gap, the first ones that fit together are kept.  Returns
+    the table of the sweep, and the documents that are not placed."""
+    spark = docs.sparkSession
+    both = docs.select(F.lit(True).alias("is_doc"), "size", "id", F.lit(0).cast("long").alias("slot")).unionByName(gaps.select(F.lit(False).alias("is_doc"), "size", "id", "slot"))
+    # Sizes downwards, at a tie slots first; ids split a size that many have over several ranges.
+    order = [F.col("size").desc(), F.col("is_doc"), F.col("id"), F.col("slot")]
+    swept = materialize(both.repartitionByRange(-(-rows // SWEEP_ROWS), *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT))
+    # One row for each range.
+    parts = swept.groupBy("part").agg(*(F.count_if((F.col("is_doc") == d) & (F.col("left") >= 0)).alias(n) for d, n in ((True, "wait"), (False, "free"))))
+    takes, runs = across(sorted((r.part, r.wait, r.free) for r in parts.collect()))
+    takes_df = F.broadcast(_small(spark, takes, ["part", "taken"]))
+    runs_df = F.broadcast(_small(spark, runs, ["part", "first", "end", "to", "at"]))
+    waiting = swept.filter("is_doc and left >= 0").join(takes_df, "part")
+    slots = swept.filter("not is_doc")
+    far = slots.filter("left >= 0").join(runs_df, "part").filter("left >= first and left < end")
+    doc = swept.filter("is_doc and pair >= 0").selectExpr("size as length", "id as rank", "part", "pair", "false as far").union(waiting.filter("left < taken").selectExpr("size", "id", "part", "left", "true"))
+    slot = slots.filter("pair >= 0").selectExpr("size as gap", "id as sequence_id", "slot", "part", "pair", "false as far").union(far.selectExpr("size", "id", "slot", "to", "at + end - 1 - left", "true"))
+    # At most `capacity` documents share a sequence.
+    before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(before), F.lit(0))
+    met = doc.join(slot, ["part", "pair", "far"]).select("length", "rank", "sequence_id", offset.cast("long").alias("offset"))
+    met.withColumn("kept", F.col("offset") + F.col("length") <= capacity).write.parquet(path)
+    lost = spark.read.schema(_PLACED).parquet(path).filter("not kept").selectExpr("length as size", "rank as id")
+    return swept, waiting.filter("left >= taken").select("size", "id").unionByName(lost)
+
+
+def bands(counts: dict[int, int], capacity: int) -> list[list[int]]:
+    """The sizes up to half the capacity, downwards, in bands that are filled one after another.
+
+    Bands of large documents are narrow, as these decide how many sequences there are; a
+    size that a twentieth of these documents or more have is a band by itself, in which
+    nothing is estimated.
+    """
+    sizes = sorted((s for s in counts if 2 * s <= capacity), reverse=True)
+    many = sum(counts[s] for s in sizes) / 20
+    out: list[list[int]] = []
+    for size in sizes:
+        top = out[-1][0] if out else 0
+        near = 3 * size > 2 * top or (2 * size > top and 8 * top <= capacity) or 128 * top <= capacity
+        if top and near and counts[size] < many and counts[top] < many:
+            out[-1].append(size)
+        else:
+            out.append([size])
+    return out
+
+
+def best_fit(ranked: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:
+    """(length, rank, sequence_id, offset) for ranked (length, rank), counts[length] of each length.
+
+    Documents above half the capacity open a sequence each.  Bands of smaller ones follow,
+    largest first.  A round sweeps a band's documents and the gaps that may hold one; a
+    gap has as many slots as it holds documents of the mean size.  Rounds go on with what
+    is left and the gaps as they are then.  When hardly anything fits any more, sequences
+    are opened: at first as many as the tokens need, then as many as surely hold the rest.
+    """
+    spark = ranked.sparkSession
+    base, opened = [], 0
     for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
+        if 2 * size > capacity:
+            base.append((size, opened))
+            opened += counts[size]
+    folder, paths = new_path(spark), []
+
+    def path() -> str:
+        paths.append(f"{folder}/{len(paths)}")
+        return paths[-1]
+
+    def kept(*of: str) -> DataFrame:
+        return spark.read.schema(_PLACED).parquet(*of).filter("kept").drop("kept")
+
+    large = ranked.join(F.broadcast(_small(spark, base, ["length", "base"])), "length")
+    large.selectExpr("length", "rank", "base + rank as sequence_id", "0L as offset", "true as kept").write.parquet(path())
+    gaps = kept(*paths).select("sequence_id", (F.lit(capacity) - F.col("length")).alias("gap"))
+    for band in bands(counts, capacity):
+        high, low = band[0], band[-1]
+        docs = ranked.filter(F.col("length").between(low, high)).select(F.col("length").alias("size"), F.col("rank").alias("id"))
+        left, tokens = sum(counts[s] for s in band), sum(counts[s] * s for s in band)
+        turns, stuck, done = 0, False, []
         while left:
-            at = bisect_left(order, size)
-            if at < len(order):
-                gap = order[at]
-                first, number = heapq.heappop(gaps[gap])
-                if not gaps[gap]:
-                    del gaps[gap], order[at]
-            else:
-                gap, first = capacity, opened
-                number = -(-left // (capacity // size))
-                opened += number
-            per = min(gap // size, left)
-            full = min(number, left // per)  # sequences that take `per` pieces each
-            runs.append((size, rank, per, first, capacity - gap))
-            leave(gap - per * size, first, full)
-            rank, left = rank + full * per, left - full * per
-            if full < number:
-                # What is left, if anything, is too little to fill one more sequence so.
-                leave(gap, first + full, number - full)
-    return runs
-
-
-def _place(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, first_rank, per, first, offset = shared.value
-        key = size * (1 << 45) + first_rank
-        for batch in batches:
-            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            k = np.searchsorted(key, length * (1 << 45) + rank, "right") - 1
-            nth, place = np.divmod(rank - first_rank[k], per[k]) if len(k) else (k, k)
-            yield pa.record_batch([*batch.columns[:5], pa.array(first[k] + nth, pa.int64()), pa.array(offset[k] + place * length, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return run
+            number = gaps.filter(F.col("gap") >= low).count()
+            if stuck or not number:
+                new = -(-left // (capacity // high)) if turns else -(-tokens // capacity)
+                gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap")))
+                number, opened, turns = number + new, opened + new, turns + 1
+            most = -(-4 * left // number)  # slots of a gap: no more than there is use for
+            slots = F.least(F.greatest(F.expr(f"gap * {left} div {tokens}"), F.lit(1)), F.lit(most)).cast("long")
+            offered = gaps.filter(F.col("gap") >= low).select(F.col("gap").alias("size"), F.col("sequence_id").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot"))
+            swept, docs = _round(docs, offered, left + min(number + 4 * left, number * (capacity // low)), capacity, path())
+            taken = kept(paths[-1]).select("sequence_id", (-F.col("length")).alias("gap"))
+            done += [swept, gaps]
+            gaps = materialize(gaps.unionByName(taken).groupBy("sequence_id").agg(F.sum("gap").alias("gap")).filter(F.col("gap") >= min(counts)))
+            rest = docs.agg(F.count("*").alias("n"), F.sum("size").alias("tokens")).first()
+            stuck, left, tokens = (left - rest.n) * 20 < left, rest.n, rest.tokens
+        drop(*done)
+    return kept(*paths)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> DataFrame:
@@ -192,16 +287,12 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> Data
     keys = ["length", "doc_id", "piece", "ids_crc32"]
     sorted_ = materialize(pieces.repartitionByRange(*keys).sortWithinPartitions(*keys))
     # A file's rows keep their order and its number; (file, place in it) is a total order.
-    placed = sorted_.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    numbered = sorted_.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     # One row for each (file, size), at most the files and the sizes together, as files don't overlap but in one size.
-    classes = placed.groupBy("length", "_file").agg(F.min("_row").alias("_from"), F.count("*").alias("_n"))
+    classes = numbered.groupBy("length", "_file").agg(F.min("_row").alias("_from"), F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = classes.select("length", "_file", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
+    ranked = materialize(numbered.join(starts, ["length", "_file"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_row") + F.col("_shift")).alias("rank")))
     counts = {r.length: r.n for r in classes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
-    runs = np.array(sorted(sweep(counts, capacity)), np.int64).reshape(-1, 5)
-    shared = spark.sparkContext.broadcast(tuple(np.ascontiguousarray(c) for c in runs.T))
-    return (
-        placed.join(starts, ["length", "_file"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_row") + F.col("_shift")).alias("rank"))
-        .mapInArrow(_place(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    )
+    places = best_fit(ranked.select("length", "rank"), counts, capacity)
+    return ranked.join(places, ["length", "rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

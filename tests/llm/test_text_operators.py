@@ -74,24 +74,43 @@ def best_fit(sizes, capacity):
     return len(gaps) + best_fit.full
 
 
-def test_sweep_equals_sequential_best_fit():
+def test_sweep_across_ranges():
+    """Ranges that wait and offer, against one stack of single slots."""
     rng = np.random.default_rng(7)
-    for turn in range(120):
-        capacity = int(rng.choice([8, 64, 100, 4096]))
-        kind = turn % 4
-        n = int(rng.integers(1, 600))
-        sizes = rng.integers(1, capacity + 1, n) if kind == 0 else rng.integers(1, max(2, capacity // 3), n) if kind == 1 else np.minimum(capacity, 1 + rng.geometric(8 / capacity, n)) if kind == 2 else rng.choice(rng.integers(1, capacity + 1, 4), n)
+    for _ in range(200):
+        parts = [(k, int(rng.integers(0, 6)), int(rng.integers(0, 6))) for k in range(int(rng.integers(1, 9)))]
+        takes, runs = packing.across(parts)
+        free, expected, taken = [], {}, []
+        for part, wait, slots in parts:
+            n = min(wait, len(free))
+            expected.update({(part, k): free.pop() for k in range(n)})
+            taken.append((part, n))
+            free += [(part, k) for k in range(slots)]
+        got = {(to, at + end - 1 - k): (of, k) for of, first, end, to, at in runs for k in range(first, end)}
+        assert takes == taken and got == expected
+
+
+def test_rounds_against_sequential_best_fit(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    for capacity, per_range, sizes in (
+        (64, 100, rng.integers(1, 65, 300)),
+        (100, 100, rng.choice([51, 33, 17, 3], 400)),
+        (8, 100, [8, 8, 7]),
+    ):
+        monkeypatch.setattr(packing, "SWEEP_ROWS", per_range)  # several ranges a round
         counts = Counter(int(x) for x in sizes)
-        runs = packing.sweep(dict(counts), capacity)
-        used, placed = Counter(), Counter()
-        for size, rank, per, first, offset in runs:
-            number = min([r[1] for r in runs if r[0] == size and r[1] > rank] + [counts[size]]) - rank
-            for k in range(number):
-                placed[size] += 1
-                used[first + k // per] += size
+        ranked = spark.createDataFrame([(s, r) for s, n in counts.items() for r in range(n)], "length long, rank long")
+        rows = packing.best_fit(ranked, dict(counts), capacity).collect()
+        assert Counter((r.length, r.rank) for r in rows) == Counter((s, r) for s, n in counts.items() for r in range(n))
+        held = defaultdict(list)
+        for r in rows:
+            held[r.sequence_id].append((r.offset, r.length))
+        for parts in held.values():
+            ends = [o + n for o, n in sorted(parts)]
+            assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= capacity
         best_fit.full = 0
-        assert placed == counts and max(used.values()) <= capacity
-        assert len(used) == best_fit(sizes.tolist(), capacity)
+        least = best_fit(list(sizes), capacity)
+        assert len(held) <= least + least // 100
 
 
 def test_media_round_trip(spark):
