@@ -8,10 +8,12 @@ the string alone decides.  So equal strings hold equal cover grams at equal plac
 
 1. Cover grams are ranked by the documents they occur in (summed per task first); those
    of one document only can't lie in a repeat.
-2. Around the others, the bytes within reach of a string of `length` bytes are dealt into
-   buckets by gram.  A bucket is sorted one block of whole grams at a time, once for each
-   place the gram can have in a string; rows that tie have equal strings, and the least
-   document id of a tie decides.
+2. A string belongs to the least gram in it.  The bytes of the strings of each of the other
+   grams are dealt into buckets by gram.  A bucket is sorted one block of whole grams at a
+   time, once for each place the gram can have in a string; rows that tie have equal strings,
+   and the least document id of a tie decides.  The table that names the grams grows with
+   their number; where it or the rows would be too many, ranges of grams are done one after
+   another, each with a scan of its own, and the files of one are deleted before the next.
 3. Where a string has an earlier document, its span is sent to its document, and the
    spans' union is cut.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bitmap, in_batches, materialize, pick
+from tessera.llm.common import bitmap, drop, forget_shuffles, in_batches, materialize, pick
 
-#: Bytes of a gram; rows of a gram that one task takes; bits of the tables that name shared grams and cut documents (fixed).
-GRAM, HOT, SHARED, CUT = 20, 50_000, 1 << 26, 1 << 24
+#: Bytes of a gram; rows of a gram that one task takes; bits of the table that names cut documents (fixed).
+GRAM, HOT, CUT = 20, 50_000, 1 << 24
+#: Bits of the table that names shared grams: for each gram where they fit and at the least, and of all of it at the least and most.
+WIDE, TIGHT, SHARED = 14, 4, (1 << 16, 1 << 29)
+#: Bytes of text for which one row may be dealt into buckets at once (a row takes about 60 bytes of disk), and rows that always may.
+TEXT, FEW = 36, 100_000
 #: Grams that are treated as hot at most, the most frequent ones, and strings of theirs up to which a table is broadcast; beyond, strings are joined by shuffle.
 BROADCAST_HOT, BROADCAST_STRINGS = 1_000_000, 2_000_000
+#: The bit of a gram's hash from which passes are told apart; cells of the table are named by lower ones.
+PASS = 40
 _BYTES = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=1) for i in range(256)], np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,10 +64,10 @@ def _extreme(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def cover(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the cover in ascending order, and the hashes of their grams."""
+def cover(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the cover in ascending order, the hashes of their grams, and the least hash of each string."""
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = _BYTES[np.frombuffer(data, np.uint8)]
     sums, done, at = None, 0, 0  # hashes of runs whose lengths are powers of two, put together to GRAM
     run = 1
@@ -77,7 +86,16 @@ def cover(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     edge = np.zeros(window - 1, np.uint64)
     reach = _extreme(np.concatenate([edge, least, edge]), window, np.maximum)
     at = np.flatnonzero(reach == sums)
-    return at, sums[at]
+    return at, sums[at], least
+
+
+def _owned(data: bytes, at: np.ndarray, h: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last start of the strings whose least gram is the one at each position of the cover."""
+    ends = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1, [len(least)]])
+    # Runs of one least hash come in the order of its positions; equal neighbours in the cover share a run.
+    run = np.zeros(len(h), np.int64)
+    np.cumsum(h[1:] != h[:-1], out=run[1:])
+    return np.maximum(ends[run], at - (length - GRAM)), np.minimum(ends[run + 1] - 1, at)
 
 
 def _ranked(length: int):
@@ -110,15 +128,16 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of
 
 
 def _strings(data: bytes, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the strings of `length` bytes that hold a hot gram of the cover, and their hashes."""
-    at, h = cover(data, length)
-    at = at[_among(h, hot)]
-    if not len(at):
-        return at, np.zeros(0, np.uint64)
+    """Starts of the strings of `length` bytes whose least gram is hot, and their hashes."""
+    at, h, least = cover(data, length)
+    keep = _among(h, hot)
+    if not keep.any():
+        return at[keep], np.zeros(0, np.uint64)
+    low, high = (x[keep] for x in _owned(data, at, h, least, length))
     n = len(data)
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, np.maximum(at - (length - GRAM), 0), 1)
-    np.add.at(edge, np.minimum(at, n - length) + 1, -1)
+    np.add.at(edge, low, 1)
+    np.add.at(edge, high + 1, -1)
     starts = np.flatnonzero(edge.cumsum() > 0)
     if len(_powers[0]) < n:
         for i, p in enumerate((int(_P), pow(int(_P), -1, 1 << 64))):
@@ -128,7 +147,7 @@ def _strings(data: bytes, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 
 def _hot_reduced(shared, length: int):
-    """h, first, last: the least and greatest document of each string that holds a hot gram."""
+    """h, first, last: the least and greatest document of each string whose least gram is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_batches(batches, 4 << 20):
@@ -145,7 +164,7 @@ def _hot_reduced(shared, length: int):
 
 
 def _hot_looked_up(shared, length: int):
-    """Spans of strings with a hot gram that a table (sorted hashes, least documents) gives an earlier document."""
+    """Spans of strings whose least gram is hot that a table (sorted hashes, least documents) gives an earlier document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, known, least = shared.value
@@ -169,7 +188,7 @@ def _hot_looked_up(shared, length: int):
 
 
 def _hot_listed(shared, length: int):
-    """key, doc_id, begin, h of every string that holds a hot gram."""
+    """key, doc_id, begin, h of every string whose least gram is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_batches(batches, 1 << 20):
@@ -181,41 +200,49 @@ def _hot_listed(shared, length: int):
     return run
 
 
-def _around(shared, length: int):
-    """For each shared gram: the bytes that strings holding it can have, 0 beyond the text."""
+def _within(first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """For each row, which of `width` places are among `size` ones from the first."""
+    places, first, end = np.arange(width, dtype=np.int32), first.astype(np.int32), (first + size).astype(np.int32)
+    return (places >= first[:, None]) & (places < end[:, None])
+
+
+def _around(shared, length: int, number: int = 0, passes: int = 1):
+    """For each shared gram of a pass: the bytes of the strings whose least gram it is, and (first start, place of the gram from there) as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, hot = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
+        bits = np.uint64(8 * len(marks))
         side = length - GRAM
-        width = 2 * side + GRAM
+        width, edge = 2 * side + GRAM, bytes(side)
         for batch in in_batches(batches, 4 << 20):
-            grams, keys, docs, starts, ends, bytes_ = [], [], [], [], [], []
+            grams, keys, docs, starts, sizes, bytes_ = [], [], [], [], [], []
             for key, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                at, h = cover(data, length)
-                cell = h % np.uint64(SHARED)
+                at, h, least = cover(data, length)
+                cell = h % bits
                 keep = (marks[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep &= ((h >> np.uint64(PASS)) & np.uint64(passes - 1)) == number
                 keep &= ~_among(h, hot)
-                at, h = at[keep], h[keep]
-                if not len(at):
+                if not keep.any():
                     continue
-                padded = np.frombuffer(bytes(side) + data + bytes(side), np.uint8)
-                bytes_.append(np.lib.stride_tricks.sliding_window_view(padded, width)[at].reshape(-1))
-                grams.append(h.view(np.int64))
-                keys.append(np.full(len(at), key))
-                docs.append(np.full(len(at), doc))
-                starts.append(at)
-                ends.append(np.full(len(at), len(data)))
+                low, high = (x[keep] for x in _owned(data, at, h, least, length))
+                padded = np.frombuffer(edge + data + edge, np.uint8)
+                bytes_.append(np.lib.stride_tricks.sliding_window_view(padded, width)[at[keep]])
+                sizes.append(high - low + length)
+                grams.append(h[keep].view(np.int64))
+                keys.append(np.full(len(low), key))
+                docs.append(np.full(len(low), doc))
+                starts.append(low << 16 | at[keep] - low)
             if grams:
-                flat = np.concatenate(bytes_)
-                n = len(flat) // width
-                around = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.record_batch([*(pa.array(np.concatenate(c).astype(np.int64)) for c in (grams, keys, docs, starts, ends)), around], names=["gram", "key", "doc_id", "at", "size", "around"])
+                size, start = np.concatenate(sizes), np.concatenate(starts)
+                flat = np.concatenate(bytes_)[_within(side - (start & 0xFFFF), size, width)]
+                around = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.record_batch([*(pa.array(np.concatenate(c).astype(np.int64)) for c in (grams, keys, docs, starts)), around], names=["gram", "key", "doc_id", "start", "around"])
 
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram, in blocks of whole grams of about so many rows."""
     held: list[pa.RecordBatch] = []
     count = 0
@@ -241,17 +268,22 @@ def _earlier(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            doc, at, size = (block.column(i).to_numpy() for i in (2, 3, 4))
-            wide = np.frombuffer(block.column(5).buffers()[2], np.uint8)[block.column(5).offset * (2 * side + GRAM) :][: len(doc) * (2 * side + GRAM)].reshape(len(doc), -1)
+            doc, start = (block.column(i).to_numpy() for i in (2, 3))
+            low, left = start >> 16, start & 0xFFFF
+            ends = np.frombuffer(block.column(4).buffers()[1], np.int32)[block.column(4).offset :][: len(doc) + 1].astype(np.int64)
+            size, flat = np.diff(ends), np.frombuffer(block.column(4).buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            # Aligned by the gram; what lies beyond a row's bytes is in none of its strings.
+            wide = np.zeros((len(doc), 2 * side + GRAM), np.uint8)
+            wide[_within(side - left, size, 2 * side + GRAM)] = flat
             prefix = np.zeros((2 * side + GRAM + 1, len(doc)), np.uint64)
             for j in range(2 * side + GRAM):
                 prefix[j + 1] = prefix[j] * _P + _BYTES[wide[:, j]]
             repeated = np.zeros((len(doc), side + 3), bool)  # by place of the gram in the string, with an empty column at either end
             for o in range(side + 1):
-                ok = np.flatnonzero((at >= o) & (at - o + length <= size))
+                ok = np.flatnonzero((left >= o) & (left - o + length <= size))
                 b = side - o
                 h = (prefix[b + length] - prefix[b] * power)[ok]
-                order = np.argsort(h, kind="stable")
+                order = np.argsort(h)
                 h, d = h[order], doc[ok][order]
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
                 if len(first) == len(h):
@@ -259,9 +291,10 @@ def _earlier(length: int):
                 least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.r_[first, len(h)]))
                 repeated[ok[order][d > least], o + 1] = True
             step = np.diff(repeated.astype(np.int8), axis=1)
-            r, low = np.nonzero(step == 1)
-            high = np.nonzero(step == -1)[1] - 1  # the runs end in the same order
-            yield pa.record_batch([block.column(1).take(pa.array(r)), pa.array(at[r] - high), pa.array(at[r] - low + length)], names=["key", "begin", "end"])
+            r, near = np.nonzero(step == 1)
+            far = np.nonzero(step == -1)[1] - 1  # the runs end in the same order
+            at = (low + left)[r]
+            yield pa.record_batch([block.column(1).take(pa.array(r)), pa.array(at - far), pa.array(at - near + length)], names=["key", "begin", "end"])
 
     return run
 
@@ -305,6 +338,17 @@ def _hot_spans(rows: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
     return strings.join(least, "h").filter("doc_id > least").select("key", "begin", (F.col("begin") + length).alias("end"))
 
 
+def _plan(grams: int, rows: int, size: int) -> tuple[int, int]:
+    """Bits of the table that names shared grams, and passes (a power of two), for so many grams and rows of them in so many bytes of text."""
+    passes = 1
+    while passes < 1 << 15 and (TIGHT * grams > passes * SHARED[1] or rows > passes * max(FEW, size // TEXT)):
+        passes *= 2
+    bits = SHARED[0]
+    while bits < min(SHARED[1], WIDE * grams // passes):
+        bits *= 2
+    return bits, passes
+
+
 def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of docs.
 
@@ -322,12 +366,23 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     common = materialize(ranks.filter("first < last").select("gram", "n"))
     frequent = common.filter(F.col("n") > HOT).orderBy(F.desc("n"), "gram").limit(BROADCAST_HOT).select("gram").toArrow()
     hot = np.sort(frequent["gram"].to_numpy().view(np.uint64))
-    marks = sc.broadcast((bitmap(common, "gram", SHARED), hot))
-    rest = long_.select("key", "doc_id", "text").mapInArrow(_around(marks, length), "gram long, key long, doc_id long, at long, size long, around binary")
-    spans = rest.repartition("gram").sortWithinPartitions("gram").mapInArrow(_earlier(length), "key long, begin long, end long")
+    forget_shuffles(docs.sparkSession)
+    shared, rows = common.filter(F.col("n") <= HOT).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = long_.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    bits, passes = _plan(shared, rows, size)
+    found = []
+    for k in range(passes):
+        own_grams = common.filter((F.shiftrightunsigned("gram", PASS).bitwiseAND(F.lit(passes - 1))) == k)
+        marks = sc.broadcast((bitmap(own_grams, "gram", bits), hot))
+        rest = long_.select("key", "doc_id", "text").mapInArrow(_around(marks, length, k, passes), "gram long, key long, doc_id long, start long, around binary")
+        found.append(materialize(rest.repartition("gram").sortWithinPartitions("gram").mapInArrow(_earlier(length), "key long, begin long, end long")))
+        marks.unpersist()
+        forget_shuffles(docs.sparkSession)
     if len(hot):
-        spans = spans.unionByName(_hot_spans(long_.select("key", "doc_id", "text"), hot, length))
+        found.append(materialize(_hot_spans(long_.select("key", "doc_id", "text"), hot, length)))
+    spans = reduce(DataFrame.unionByName, found)
     spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("s")).select("key", F.col("s.begin").alias("begin"), F.col("s.end").alias("end")))
+    drop(common, *found)
     touched = sc.broadcast(bitmap(spans, "key", CUT))
     return _joined(own, spans, touched).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
