@@ -15,6 +15,7 @@ their class by partition offsets, and each finds its slot by binary search.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import struct
@@ -30,13 +31,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, pick
 
-#: Chunks, and words, whose ids a worker remembers, and the longest one remembered.
-CHUNKS, WORDS, LONGEST = 500_000, 1_000_000, 64
+#: Chunks (twice as many at the most) and words whose ids a worker remembers, and the longest one remembered.
+CHUNKS, WORDS, LONGEST = 250_000, 1_000_000, 64
 #: The tokenizer's own words, fixed by its file.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What can end a chunk of letters and is a word by itself.
+_STOPS = frozenset(".,;:!?")
 #: A byte's name in a byte-level vocabulary: itself if it can be printed, else the next free code point from 256.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_NAMES = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _loaded: dict = {}
 
 
@@ -49,50 +53,65 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-class Ids:
+class Ids(dict):
     """The ids of a text as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those
     of its chunks between spaces and line feeds, each looked up.  The ids of a chunk of
     plain Latin characters are those of its lower-cased words, each encoded once while it
-    is remembered; other chunks are encoded whole.
+    is remembered; other chunks are encoded whole.  A chunk not met while CHUNKS others came
+    in is forgotten, so that rare ones don't push out common ones.
     """
 
     def __init__(self, path: str):
-        self.encode, self.known, self.words = tokenizer(path).encode_batch, {"": b""}, {}
+        super().__init__({"": b""})
+        self.encode, self.before, self.words = tokenizer(path).encode, {}, {}
         self.merge = tokenizer(path).model.tokenize  # what encode does with a word once it is folded and cut out
-
-    def _encoded(self, new: list[str]) -> dict[str, bytes]:
-        return dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.encode(new, add_special_tokens=False)), strict=True)) if new else {}
+        gc.freeze()  # what is remembered holds no cycles; collections needn't walk it
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self._new(chunk)
+            if len(chunk) > LONGEST:
+                return ids
+        if len(self) > CHUNKS:
+            self.before = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+    def _new(self, chunk: str) -> bytes:
+        words = self.words
+        if len(chunk) <= LONGEST and chunk.isascii():  # most chunks: letters, with a stop at the end or without
+            low = chunk.lower()
+            if low.isalpha():
+                return words.get(low) or self._merged(low)
+            if low[-1] in _STOPS and (head := low[:-1]).isalpha():
+                return (words.get(head) or self._merged(head)) + (words.get(low[-1]) or self._merged(low[-1]))
+        parts = self._parts(chunk)
+        if parts is None:
+            return np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([words.get(w) or self._merged(w) for w in parts])
+
+    def _merged(self, word: str) -> bytes:
+        if len(self.words) > WORDS:
+            self.words.clear()
+        found = self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES))
+        ids = self.words[word] = _PACK[len(found)](*[t.id for t in found]) if len(found) < len(_PACK) else np.array([t.id for t in found], "<u4").tobytes()
+        return ids
 
     @staticmethod
     def _parts(chunk: str) -> list[str] | None:
         if len(chunk) > LONGEST or not (chunk.isascii() or max(chunk) < "\u0100") or not chunk.isprintable() or "<|" in chunk:
             return None
         low = chunk.lower()
-        return [low] if low.isalpha() else _WORD.findall(low)
+        if low.isalpha():
+            return [low]
+        return [low[:-1], low[-1]] if low[-1] in _STOPS and low[:-1].isalpha() else _WORD.findall(low)
 
     def of(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(self.words) > WORDS:
-            self.words.clear()
-        if len(known) > CHUNKS:
-            known.clear()
-            known[""] = b""
-        new = {c: self._parts(c) for c in set(chunks) if c not in known}
-        words, merge = self.words, self.merge
-        for w in {w for parts in new.values() for w in parts or () if w not in words}:
-            ids = [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_NAMES))]
-            words[w] = struct.pack(f"<{len(ids)}I", *ids)
-        ids = self._encoded([c for c, parts in new.items() if parts is None])
-        ids.update((c, words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])) for c, parts in new.items() if parts is not None)
-        known.update((c, x) for c, x in ids.items() if len(c) <= LONGEST)
-        return b"".join([known[c] if c in known else ids[c] for c in chunks])
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ids: dict[str, Ids] = {}  # by path, kept by a worker from task to task

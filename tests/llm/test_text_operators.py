@@ -75,6 +75,17 @@ def best_fit(sizes, capacity):
     return len(gaps) + best_fit.full
 
 
+def test_common_chunks_stay_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNKS", 100)
+    split, parts = Counter(), packing.Ids._parts
+    monkeypatch.setattr(packing.Ids, "_parts", staticmethod(lambda chunk: split.update([chunk]) or parts(chunk)))
+    ids, tok = packing.Ids(WORD_BPE), packing.tokenizer(WORD_BPE)
+    for i in range(20):
+        text = "\u00fcber, Where. it's \u0436\u0438 a;b " + " ".join(f"w{i}x{j}\u00e9," for j in range(60)) + " \u00fcber, end!" + "z" * 70 + "."
+        assert ids.of(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert split["\u00fcber,"] == 1
+
+
 def test_sweep_equals_sequential_best_fit():
     rng = np.random.default_rng(7)
     for turn in range(120):
