@@ -23,6 +23,7 @@ as their parities differ, so a pair that differs too much can't link.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -45,6 +46,8 @@ BLOCK, STARS, PIVOTS, FAN, SIDE, ROWS, PAIRS = 2_000_000, 2, 8, 2_000, 32, 1_024
 REMEMBERED = 300_000
 #: Classes of hashes whose parities stand for a set in the suffix filter; bytes of text hashed at once.
 BITS, TEXT = 1024, 4 << 20
+#: Parts in which sets are loaded, one scan of the texts for each, and in which pairs are compared; the files of one are deleted before the next.
+LOADS, PARTS = 2, 3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -351,8 +354,8 @@ def _crossings(percent: int):
     return run
 
 
-def _sets(shared, width: int):
-    """The shingles of the sets that the table of wanted ones may hold."""
+def _sets(shared, width: int, part: int = 0, parts: int = 1):
+    """The shingles of the sets of a part that the table of wanted ones may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done, wanted = _Words(), set(), shared.value
@@ -361,7 +364,7 @@ def _sets(shared, width: int):
             ids, parities, sets = [], [], []
             for s in batch_shingles(batch.column(0).to_pylist(), width, words):
                 cell = (own := set_id(s)) % bits
-                if len(s) and wanted[cell >> 3] >> (cell & 7) & 1 and own not in done:
+                if len(s) and wanted[cell >> 3] >> (cell & 7) & 1 and (own >> 32) % parts == part and own not in done:
                     if len(done) >= REMEMBERED:
                         done.clear()
                     done.add(own)
@@ -429,18 +432,24 @@ class _Join:
             bits *= 2
         shared = self.spark.sparkContext.broadcast(bitmap(ids, "set_id", bits))
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        sets = self.own.select("text").mapInArrow(_sets(shared, self.width), "set_id long, bits binary, elements binary")
-        sets = sets.repartition(parts, "set_id").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
         path = new_path(self.spark)
         forget_shuffles(self.spark)
         name = "tessera_" + path.rpartition("-")[2]
         self.tables[name] = path
-        sets.write.bucketBy(parts, "set_id").sortBy("set_id").option("path", path).format("parquet").saveAsTable(name)
-        forget_shuffles(self.spark)
+        for k in range(LOADS):
+            sets = self.own.select("text").mapInArrow(_sets(shared, self.width, k, LOADS), "set_id long, bits binary, elements binary")
+            sets = sets.repartition(parts, "set_id").join(ids, "set_id", "left_semi").dropDuplicates(["set_id"])
+            sets.write.mode("append").bucketBy(parts, "set_id").sortBy("set_id").option("path", path).format("parquet").saveAsTable(name)
+            del sets
+            forget_shuffles(self.spark)
         return self.spark.table(name)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """pairs: x, y, each once -> a, b: those that link."""
+        forget_shuffles(self.spark)  # of what found the pairs
+        return reduce(DataFrame.unionByName, [self._linked_part(pairs.filter(F.pmod(F.xxhash64("y"), F.lit(PARTS)) == k)) for k in range(PARTS)])
+
+    def _linked_part(self, pairs: DataFrame) -> DataFrame:
         fan = self.kept(pairs.groupBy("y").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts")))
         x = pairs.join(fan, "y").select("y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), "x").join(self.sets.select(F.col("set_id").alias("x"), "elements"), "x").select("y", "part", "x", "elements")
         y = fan.join(self.sets.select(F.col("set_id").alias("y"), "elements"), "y").select("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("x"), "elements")

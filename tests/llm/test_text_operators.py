@@ -196,6 +196,25 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert by_row(ngram_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == components_of(rows)
 
 
+def test_near_duplicates_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LOADS", 3)
+    monkeypatch.setattr(ngram_join, "PARTS", 4)
+    loaded, sets = [], ngram_join._sets
+    monkeypatch.setattr(ngram_join, "_sets", lambda shared, width, part, parts: loaded.append((part, parts)) or sets(shared, width, part, parts))
+    rows = data.rows(3)
+    docs = data.frame(spark, only=rows, clashing=True)
+    assert by_row(ngram_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == components_of(rows)
+    assert loaded == [(0, 3), (1, 3), (2, 3)]
+
+    class Shared:
+        value = b"\xff" * 64
+
+    batch = pa.record_batch([pa.array([r[1] for r in rows])], names=["text"])
+    found = [[i for out in sets(Shared, 5, k, 3)([batch]) for i in out.column(0).to_pylist()] for k in range(3)]
+    whole = [i for out in sets(Shared, 5)([batch]) for i in out.column(0).to_pylist()]
+    assert all(found) and sorted(sum(found, [])) == sorted(whole)
+
+
 def test_near_duplicates_keep_one(spark):
     rows = data.rows()
     kept = ngram_join.keep_one(data.frame(spark, clashing=True))
