@@ -119,16 +119,13 @@ def bitmap(df: DataFrame, column: str, bits: int) -> bytes:
 
 
 def in_batches(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20, column: str | None = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of text (None: the last column), one row at least."""
+    """The same rows in batches of `limit` bytes of text (None: the last column) and at most one row beyond, whatever the texts' lengths."""
     for batch in batches:
         k = batch.schema.get_field_index(column) if column else batch.num_columns - 1
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
-            end, total = start, 0
-            step = max(1, min(batch.num_rows - start, 256))
-            while end < batch.num_rows and total < limit:
-                part = batch.column(k).slice(end, step)
-                total += pc.sum(pc.binary_length(part)).as_py() or 0
-                end += len(part)
+            done = ends[start - 1] if start else 0
+            end = min(int(np.searchsorted(ends, done + limit)) + 1, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end

@@ -34,8 +34,8 @@ BROADCAST_IDS = 500_000
 BROADCAST_LANGS = 100_000
 #: N-grams of all orders up to which the model is broadcast; beyond, it is joined by shuffle.
 BROADCAST_GRAMS = 2_000_000
-#: Bytes of text counted or scored at once.
-TEXT = 1 << 20
+#: Bytes of text counted or scored at once, which a worker's memory grows with.
+TEXT = 1 << 18
 
 
 def _points(text: str) -> np.ndarray:

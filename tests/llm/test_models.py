@@ -1,12 +1,15 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tessera.llm import components, neighbours, quality
+from tessera.llm.common import in_batches
 from tests.llm import data
 from tests.llm.test_text_operators import check_packing, got
 
@@ -209,6 +212,27 @@ def test_quality_joined_equals_broadcast(spark, monkeypatch):
     assert [x for _, x, _ in one] == pytest.approx([x for _, x, _ in other], rel=1e-9)
 
 
+def test_quality_memory_is_bounded_by_bytes_not_rows():
+    texts = ["".join(random.Random(i).choices("abcdefgh ijklm\n", k=20_000)) for i in range(256)]
+    batch = pa.record_batch([pa.array(texts + [None, ""])], names=["text"])
+    parts = list(in_batches(iter([batch]), quality.TEXT))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == [*texts, None, ""]
+    assert max(sum(len(t or "") for t in p.column(0).to_pylist()) for p in parts) < quality.TEXT + 20_000
+    assert [p.num_rows for p in in_batches(iter([batch]), 1)][:3] == [1, 1, 1] and list(in_batches(iter([batch.slice(0, 0)]))) == []
+
+    class Shared:
+        value = sorted(set("abcdefgh ijklm\n")), quality.FIRST + 15
+
+    found = Counter()
+    tracemalloc.start()
+    for out in quality._count(Shared)(iter([batch.slice(0, len(texts))])):
+        for c, s, n in zip(*(x.to_pylist() for x in out.columns), strict=True):
+            found[c, s] += n
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20 and sum(found.values()) == 256 * 20_000
+
+
 def brute(ids, vectors, every, k):
     x = np.array(vectors)
     out = {}
