@@ -384,23 +384,51 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("s")).select("key", F.col("s.begin").alias("begin"), F.col("s.end").alias("end")))
     drop(common, *found)
     touched = sc.broadcast(bitmap(spans, "key", CUT))
-    return _joined(own, spans, touched).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _joined(own, spans, touched)
 
 
-def _joined(own: DataFrame, spans: DataFrame, touched) -> DataFrame:
-    """own with its spans; texts without any aren't shuffled."""
+def _maybe_cut(batch: pa.RecordBatch, touched) -> np.ndarray:
+    """Which rows (the first column is their key) the table of documents that lose something may hold."""
+    marks, cell = np.frombuffer(touched.value, np.uint8), batch.column(0).to_numpy() & (CUT - 1)
+    return (marks[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+
+
+def _touched(touched):
+    """key, doc_id, text of the rows that may lose something."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_maybe_cut(batch, touched)))
+
+    return run
+
 
-    @F.pandas_udf("boolean")
-    def maybe(cell):
-        import pandas as pd
+def _whole(touched):
+    """As _cut, for the other rows."""
 
-        marks, c = np.frombuffer(touched.value, np.uint8), cell.to_numpy()
-        return pd.Series((marks[c >> 3] >> (c & 7)) & 1 == 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rest() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = batch.filter(pa.array(~_maybe_cut(batch, touched)))
+                none = pa.nulls(kept.num_rows, pa.list_(pa.int64()))
+                yield pa.record_batch([kept.column(1), kept.column(2), none, none], names=["doc_id", "text", "begin", "end"])
+
+        yield from _cut(rest())
+
+    return run
 
-    tested = own.withColumn("maybe", maybe(F.expr(f"cast(pmod(key, {CUT}) as long)")))
-    none = F.lit(None).cast("array<long>")
-    whole = tested.filter(~F.col("maybe")).select("doc_id", "text", none.alias("begin"), none.alias("end"))
-    return whole.unionByName(tested.filter("maybe").join(spans, "key", "left").select("doc_id", "text", "begin", "end"))
+
+def _joined(own: DataFrame, spans: DataFrame, touched) -> DataFrame:
+    """own without what its spans cover; texts without any aren't shuffled.
+
+    No task has two functions in Python: each would have a worker of its own, and an executor
+    keeps its workers, so that all later tasks' memory would come on top of theirs.  (Hence
+    no broadcast join, which would leave two functions in one task.)
+    """
+    rows = own.select("key", "doc_id", "text")
+    cut = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    shuffled = rows.mapInArrow(_touched(touched), "key long, doc_id long, text string").join(spans.hint("merge"), "key", "left").select("doc_id", "text", "begin", "end")
+    return rows.mapInArrow(_whole(touched), cut).unionByName(shuffled.mapInArrow(_cut, cut))
 
 
 #: The same in DuckDB, with every string of 50 bytes.
