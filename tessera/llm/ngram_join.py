@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,41 +41,63 @@ BROADCAST_KEYS = 500_000
 #: Shingles counted at once, rounds of comparison with pivots, pivots of a size class in a list, sets compared with one
 #: set in one task, lists that are compared side by side, rows of a block of a longer one, pairs compared at once.
 BLOCK, STARS, PIVOTS, FAN, SIDE, ROWS, PAIRS = 2_000_000, 2, 8, 2_000, 32, 1_024, 200_000
-#: Words whose hash a worker remembers.
-REMEMBERED = 300_000
+#: Sets that a worker remembers having seen; bytes up to which words are hashed side by side.
+REMEMBERED, LONG = 300_000, 64
 #: Classes of hashes whose parities stand for a set in the suffix filter; bytes of text hashed at once.
-BITS, TEXT = 1024, 4 << 20
+BITS, TEXT = 1024, 2 << 20
 #: Parts in which sets are loaded, one scan of the texts for each, and in which pairs are compared; the files of one are deleted before the next.
 LOADS, PARTS = 2, 3
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, width: int, words: _Words) -> np.ndarray:
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of all texts, one after another, and the numbers of words up to the end of each text.
+
+    All words are hashed at once, eight bytes at a time; words of more than LONG bytes by
+    xxhash, so that one of them doesn't hold up the others.
+    """
+    found = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    ends = np.cumsum([len(f) + 1 for f in found])
+    data = b" ".join(found) + bytes(9)
+    raw = np.frombuffer(data, np.uint8)[:-9]
+    word = np.zeros(len(raw) + 2, bool)
+    np.not_equal(raw, 32, out=word[1:-1])
+    word[1:-1] &= (raw - np.uint8(9)) > 4  # 9 to 13; the subtraction is modulo 256
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place
+    h = _mixed(size.astype(np.uint64) * _PRIME + np.uint64(1))
+    rows, at, left = np.flatnonzero(size <= LONG), starts, size
+    at, left = at[rows], left[rows]
+    while len(rows):
+        part = eight[at] & _LOW[np.minimum(left, 8)]
+        h[rows] = _mixed(_mixed(part + _PRIME) ^ h[rows])
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + size[i]])
+    return h, np.searchsorted(starts, ends)
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles of a text.
 
     A-Z count as a-z, words end at space and U+0009 to U+000D; fewer than `width` words
     are one shingle, none are the empty set.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
+    return _distinct(word_hashes([text])[0], width)
+
+
+def _distinct(h: np.ndarray, width: int) -> np.ndarray:
+    """shingles(), from the hashes of a text's words."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter((words[w] for w in found), np.uint64, len(found))
     n = min(width, len(h))
     total = h[: len(h) - n + 1].copy()
     for k in range(1, n):
@@ -85,28 +106,29 @@ def shingles(text: str | None, width: int, words: _Words) -> np.ndarray:
     return total[np.r_[True, total[1:] != total[:-1]]]
 
 
-def batch_shingles(texts: list[str | None], width: int, words: _Words) -> list[np.ndarray]:
+def batch_shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
     """shingles() of each text, with the hashing done for all of them at once."""
-    found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    ends = np.cumsum([len(f) for f in found])
-    total = int(ends[-1]) if len(ends) else 0
-    h = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.uint64, total)
+    h, ends = word_hashes(texts)
+    total = len(h)
     if total >= width:
         out = h[: total - width + 1].copy()
         for k in range(1, width):
             out = _mixed(out) + h[k : total - width + 1 + k] * _PRIME
         out = _mixed(out + np.uint64(width))
-    sets = []
-    for i, f in enumerate(found):
-        if len(f) >= width:
-            s = np.sort(out[ends[i] - len(f) : ends[i] - width + 1])
+    sets, start = [], 0
+    for end in ends.tolist():
+        if end - start >= width:
+            s = np.sort(out[start : end - width + 1])
             sets.append(s[np.concatenate([_TRUE, s[1:] != s[:-1]])])
         else:
-            sets.append(shingles(texts[i], width, words))
+            sets.append(_distinct(h[start:end], width))
+        start = end
     return sets
 
 
 _TRUE = np.ones(1, bool)
+#: Masks of the first bytes of eight, by their number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -121,7 +143,7 @@ def _scan(width: int):
     """A row for each document; and the shingles that a block of documents has more than once, by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, held, block = _Words(), np.zeros(FREQUENCIES, np.int64), 0, []
+        seen, held, block = np.zeros(FREQUENCIES, np.int64), 0, []
 
         def count() -> None:
             h = np.sort(np.concatenate([np.zeros(0, np.uint64), *block]))
@@ -132,7 +154,7 @@ def _scan(width: int):
             block.clear()
 
         for batch in in_batches(batches, TEXT):
-            sets = batch_shingles(batch.column(1).to_pylist(), width, words)
+            sets = batch_shingles(batch.column(1).to_pylist(), width)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names=["doc_id", "text_key", "set_id", "n", "cell"])
             block.extend(sets)
             held += sum(map(len, sets))
@@ -162,10 +184,10 @@ def rare_first(s: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 def _prefixes(shared, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done, classes = _Words(), set(), shared.value
+        done, classes = set(), shared.value
         for batch in in_batches(batches, TEXT):
             tokens, ids, places = [], [], []
-            for s in batch_shingles(batch.column(0).to_pylist(), width, words):
+            for s in batch_shingles(batch.column(0).to_pylist(), width):
                 if not len(s) or (own := set_id(s)) in done:
                     continue
                 if len(done) >= REMEMBERED:
@@ -358,11 +380,11 @@ def _sets(shared, width: int, part: int = 0, parts: int = 1):
     """The shingles of the sets of a part that the table of wanted ones may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done, wanted = _Words(), set(), shared.value
+        done, wanted = set(), shared.value
         bits = len(wanted) * 8
         for batch in in_batches(batches, TEXT):
             ids, parities, sets = [], [], []
-            for s in batch_shingles(batch.column(0).to_pylist(), width, words):
+            for s in batch_shingles(batch.column(0).to_pylist(), width):
                 cell = (own := set_id(s)) % bits
                 if len(s) and wanted[cell >> 3] >> (cell & 7) & 1 and (own >> 32) % parts == part and own not in done:
                     if len(done) >= REMEMBERED:

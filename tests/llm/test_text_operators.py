@@ -196,6 +196,23 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert by_row(ngram_join.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == components_of(rows)
 
 
+def test_words_are_hashed_side_by_side(monkeypatch):
+    words = ["", "a", "A", "a\0", "\0", "\x0e", "\x85", "\ud800", "\u0130", "ab" * 4, "Ab" * 4 + "c", "d" * 63, "d" * 64, "d" * 65, "d" * 3000]
+    spaces = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\r\n "]
+    texts = [None, "", " ", *("".join(words[(i * k) % len(words)] + spaces[(i + k) % len(spaces)] for k in range(i % 40)) for i in range(300))]
+    found = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    one_by_one, hashed = [], ngram_join.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(ngram_join.xxhash, "xxh3_64_intdigest", lambda w: one_by_one.append(w) or hashed(w))
+    h, ends = ngram_join.word_hashes(texts)
+    assert set(one_by_one) == {b"d" * 65, b"d" * 3000}
+    assert ends.tolist() == np.cumsum([len(f) for f in found]).tolist()
+    flat = [w for f in found for w in f]
+    assert len(h) == len(flat) and len(set(zip(h.tolist(), flat, strict=True))) == len(set(h.tolist())) == len(set(flat))
+    for f, t, s in zip(found, texts, ngram_join.batch_shingles(texts, 5), strict=True):
+        assert s.tolist() == ngram_join.shingles(t, 5).tolist()
+        assert len(s) == len({tuple(f[i : i + 5]) for i in range(max(1, len(f) - 4))} if f else ())
+
+
 def test_near_duplicates_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LOADS", 3)
     monkeypatch.setattr(ngram_join, "PARTS", 4)
