@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these (space and U+0009 to U+000D).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of the Arrow batches that small_batches() asks for; a batch ends with the row that reaches them.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +87,17 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         forget_shuffles(spark)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python functions in Arrow batches of BATCH_BYTES, unless the session sets a limit itself.
+
+    Spark's own limits (10,000 rows, 256 MB) let a batch of long texts take tens of megabytes
+    in the JVM, outside its heap, for every task, and as much in each worker.  The setting
+    stays, as tables that operators return are planned and run after they have returned.
+    """
+    if spark.conf.get(key := "spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def forget_shuffles(spark: SparkSession) -> None:
     """Spark deletes the files of shuffles that nothing refers to when the driver's garbage is collected."""
     gc.collect()

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bitmap, drop, forget_shuffles, in_batches, materialize, pick
+from tessera.llm.common import bitmap, drop, forget_shuffles, in_batches, materialize, pick, small_batches
 
 #: Bytes of a gram; rows of a gram that one task takes; bits of the table that names cut documents (fixed).
 GRAM, HOT, CUT = 20, 50_000, 1 << 24
@@ -98,21 +98,33 @@ def _owned(data: bytes, at: np.ndarray, h: np.ndarray, least: np.ndarray, length
     return np.maximum(ends[run], at - (length - GRAM)), np.minimum(ends[run + 1] - 1, at)
 
 
-def _ranked(length: int):
+def _ranked(length: int, limit: int = 8 << 20, rows: int = 1 << 16):
+    """gram, first, last, n: the least and greatest document and the number of each gram in about `limit` bytes of text, in batches of so many rows."""
+
+    def summed(grams: list[np.ndarray], docs: list[int]) -> Iterator[pa.RecordBatch]:
+        h, d = np.concatenate(grams).view(np.int64), np.repeat(np.array(docs, np.int64), [len(x) for x in grams])
+        order = np.argsort(h, kind="stable")
+        h, d = h[order], d[order]
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        out = pa.record_batch([pa.array(h[at]), pa.array(np.minimum.reduceat(d, at)), pa.array(np.maximum.reduceat(d, at)), pa.array(np.diff(np.r_[at, len(h)]))], names=["gram", "first", "last", "n"])
+        yield from (out.slice(i, rows) for i in range(0, len(at), rows))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_batches(batches):
-            grams, docs = [], []
+        grams, docs, size = [], [], 0
+        for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = cover((text.as_py() or "").encode("utf-8", "surrogatepass"), length)[1]
+                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                h = cover(data, length)[1]
+                if not len(h):
+                    continue
                 grams.append(h)
-                docs.append(np.full(len(h), doc, np.int64))
-            h, d = np.concatenate(grams).view(np.int64), np.concatenate(docs)
-            if not len(h):
-                continue
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            yield pa.record_batch([pa.array(h[at]), pa.array(np.minimum.reduceat(d, at)), pa.array(np.maximum.reduceat(d, at)), pa.array(np.diff(np.r_[at, len(h)]))], names=["gram", "first", "last", "n"])
+                docs.append(doc)
+                size += len(data)
+                if size >= limit:
+                    yield from summed(grams, docs)
+                    grams, docs, size = [], [], 0
+        if grams:
+            yield from summed(grams, docs)
 
     return run
 
@@ -242,7 +254,7 @@ def _around(shared, length: int, number: int = 0, passes: int = 1):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by gram, in blocks of whole grams of about so many rows."""
     held: list[pa.RecordBatch] = []
     count = 0
@@ -338,6 +350,16 @@ def _hot_spans(rows: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
     return strings.join(least, "h").filter("doc_id > least").select("key", "begin", (F.col("begin") + length).alias("end"))
 
 
+def _few_files(df: DataFrame, column: str) -> DataFrame:
+    """df dealt by a column into partitions of the size that Spark aims at, for writing.
+
+    A task writes a file at least, however little it has left, and Hadoop's local file system
+    starts up to three processes a file.  Until such a process executes it counts with all the
+    memory of its JVM, so tasks with much work and few rows shouldn't write.
+    """
+    return df.hint("rebalance", column)
+
+
 def _plan(grams: int, rows: int, size: int) -> tuple[int, int]:
     """Bits of the table that names shared grams, and passes (a power of two), for so many grams and rows of them in so many bytes of text."""
     passes = 1
@@ -357,13 +379,15 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     repeats inside a document, or between rows that share a doc_id, don't count.  Rows
     without a doc_id neither lose anything nor take from others.  Strings are told apart by
     64-bit hashes.  Other columns are ignored; an empty table gives an empty result.
+    The session gets common.BATCH_BYTES, unless it has a limit for Arrow batches of its own.
     """
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     own = pick(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
     long_ = own.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     ranks = long_.select("doc_id", "text").mapInArrow(_ranked(length), "gram long, first long, last long, n long")
     ranks = ranks.groupBy("gram").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
-    common = materialize(ranks.filter("first < last").select("gram", "n"))
+    common = materialize(_few_files(ranks.filter("first < last").select("gram", "n"), "gram"))
     frequent = common.filter(F.col("n") > HOT).orderBy(F.desc("n"), "gram").limit(BROADCAST_HOT).select("gram").toArrow()
     hot = np.sort(frequent["gram"].to_numpy().view(np.uint64))
     forget_shuffles(docs.sparkSession)
@@ -375,15 +399,20 @@ def cut_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         own_grams = common.filter((F.shiftrightunsigned("gram", PASS).bitwiseAND(F.lit(passes - 1))) == k)
         marks = sc.broadcast((bitmap(own_grams, "gram", bits), hot))
         rest = long_.select("key", "doc_id", "text").mapInArrow(_around(marks, length, k, passes), "gram long, key long, doc_id long, start long, around binary")
-        found.append(materialize(rest.repartition("gram").sortWithinPartitions("gram").mapInArrow(_earlier(length), "key long, begin long, end long")))
-        marks.unpersist()
-        forget_shuffles(docs.sparkSession)
+        found.append(rest.repartition("gram").sortWithinPartitions("gram").mapInArrow(_earlier(length), "key long, begin long, end long"))
+        if passes > 1:
+            found[-1] = materialize(_few_files(found[-1], "key"))
+            marks.unpersist()
+            forget_shuffles(docs.sparkSession)
     if len(hot):
-        found.append(materialize(_hot_spans(long_.select("key", "doc_id", "text"), hot, length)))
+        found.append(_hot_spans(long_.select("key", "doc_id", "text"), hot, length))
     spans = reduce(DataFrame.unionByName, found)
     spans = materialize(spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("s")).select("key", F.col("s.begin").alias("begin"), F.col("s.end").alias("end")))
     drop(common, *found)
+    if passes == 1:
+        marks.unpersist()
     touched = sc.broadcast(bitmap(spans, "key", CUT))
+    forget_shuffles(docs.sparkSession)  # once more: as drop() asked, Spark could still be handling the end of the last job
     return _joined(own, spans, touched)
 
 
@@ -428,7 +457,7 @@ def _joined(own: DataFrame, spans: DataFrame, touched) -> DataFrame:
     rows = own.select("key", "doc_id", "text")
     cut = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     shuffled = rows.mapInArrow(_touched(touched), "key long, doc_id long, text string").join(spans.hint("merge"), "key", "left").select("doc_id", "text", "begin", "end")
-    return rows.mapInArrow(_whole(touched), cut).unionByName(shuffled.mapInArrow(_cut, cut))
+    return _few_files(rows.mapInArrow(_whole(touched), cut).unionByName(shuffled.mapInArrow(_cut, cut)), "doc_id")
 
 
 #: The same in DuckDB, with every string of 50 bytes.
