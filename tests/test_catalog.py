@@ -54,3 +54,16 @@ def test_null_predictors_beyond_64_tiles(spark, tmp_path):
     assert {r.tile_index: r.seed for r in pred} == {64: 8, across: 75, 100_002 * across: 3}
     decoded = QUERIES["decode_nulls"](spark, str(tmp_path)).collect()
     assert {(r.tile_index, r.r, r.c): r.z for r in decoded if r.z is not None} == index
+
+
+def test_ycocg_beyond_32_bits(spark, tmp_path):
+    cells = [(1_199_999, 59_999, 7), (3, 59_999, 50), (1_199_999, 2, 1)]
+    spark.createDataFrame(cells, "l_partkey long, l_suppkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {(r.row, r.col): (r.y, r.co, r.cg, r.back) for r in QUERIES["ycocg_roundtrip"](spark, str(tmp_path)).collect()}
+    expected = {}
+    for row, col, z in cells:
+        rgb = (row * 7919 + col * 104729 + z) % 16777216
+        r, g, b = rgb >> 16, rgb >> 8 & 255, rgb & 255
+        t = b + (r - b >> 1)
+        expected[row, col] = t + (g - t >> 1), r - b, g - t, rgb
+    assert found == expected
