@@ -431,3 +431,21 @@ def test_sparse_tiles_are_linear(spark):
     began = time.time()
     (tile,) = cells.tile_form(big, Spec(200, 200, 200, 200), "z").collect()
     assert tile["values"] == [i if i % 3 != 1 else None for i in range(40_000)] and time.time() - began < 30
+
+
+def test_tiles_side_by_side():
+    rng = np.random.default_rng(5)
+    z = rng.integers(INT_MIN + 1, 2**31, (300, 7, 5)).astype(np.int32)
+    z[rng.random(z.shape) < rng.random((300, 1, 1))] = INT_MIN
+    seed, d = codecs.residuals_all(z, "with_nulls")
+    assert (codecs.restored_all(seed, d, "with_nulls") == z).all()
+    for one, s, e in zip(z, seed.tolist(), d, strict=True):
+        prior = [[int(one[r, c - 1] if c else one[r - 1, 0] if r else INT_MIN) for c in range(5)] for r in range(7)]
+        starts = [int(one[r, c]) for r in range(7) for c in range(5) if one[r, c] != INT_MIN and prior[r][c] == INT_MIN]
+        assert s == (math.floor(sum(starts) / len(starts) + 0.5) if starts else 0)
+        for (r, c), v in np.ndenumerate(one):
+            assert e[r, c] == (INT_MIN if v == INT_MIN else (int(v) - (s if prior[r][c] == INT_MIN else prior[r][c]) + 2**31) % 2**32 - 2**31)
+    whole = np.where(z == INT_MIN, 3, z)
+    for p in ("differencing", "linear", "triangle"):
+        seed, d = codecs.residuals_all(whole, p)
+        assert (codecs.restored_all(seed, d, p) == whole).all() and (d[:, 0, 0] == 0).all()
