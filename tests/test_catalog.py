@@ -67,3 +67,9 @@ def test_ycocg_beyond_32_bits(spark, tmp_path):
         t = b + (r - b >> 1)
         expected[row, col] = t + (g - t >> 1), r - b, g - t, rgb
     assert found == expected
+
+
+def test_tiles_are_put_together_without_lists(spark):
+    """Cells meet in tiles sorted, as plain columns: lists of structs cost the JVM more than all else did."""
+    plan = QUERIES["pred_nulls"](spark, SF)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
