@@ -113,12 +113,11 @@ SHAPES = ("row_major", "column_major", "row_block", "tile_block", "tile_load")
 
 def scan_shape(cells: DataFrame, spec: Spec, shape: str, element: str = "z") -> DataFrame:
     """shape, reads, n, total: a full scan by rows, columns, rows of tiles, tiles' cells, or stored tiles; reads: how many pieces it takes."""
-    from tessera.operators.cells import tile_form
+    from tessera.operators.cells import tile_totals
 
     z = F.col(element)
     if shape == "tile_load":
-        tiles = tile_form(cells, spec, element)
-        each = tiles.select(F.size(F.filter("values", lambda v: v.isNotNull())).alias("n"), F.aggregate("values", F.lit(0.0), lambda a, v: a + F.coalesce(v.cast("double"), F.lit(0.0))).alias("total"))
+        each = tile_totals(cells, spec, element)
     else:
         row, col = F.col("row"), F.col("col")
         key = {"row_major": [row], "column_major": [col], "row_block": [grid.tile_row(spec, row)], "tile_block": [grid.tile_row(spec, row), grid.tile_col(spec, col)]}[shape]

@@ -449,3 +449,32 @@ def test_tiles_side_by_side():
     for p in ("differencing", "linear", "triangle"):
         seed, d = codecs.residuals_all(whole, p)
         assert (codecs.restored_all(seed, d, p) == whole).all() and (d[:, 0, 0] == 0).all()
+
+
+def test_best_packing_is_the_shortest(spark):
+    rng = np.random.default_rng(7)
+    shape = (12, 9)
+    ramp = np.add.outer(np.arange(12), np.arange(9) * 3)
+    zs = [ramp, np.full(shape, 5), np.full(shape, INT_MIN), rng.integers(INT_MIN + 1, 2**31, shape), rng.integers(0, 2, shape), rng.integers(-300, 300, shape), rng.choice([0, 0, 0, 70_000], shape)]
+    zs += [np.where(rng.random(shape) < k / 8, z, INT_MIN) for z in zs for k in range(1, 8)]
+    zs = [z.astype(np.int32) for z in zs]
+    for registry in (codecs.default_registry(True), codecs.Registry(canonical=codecs.CanonicalHuffman(), huffman=codecs.Huffman(), deflate=codecs.Deflate()), codecs.Registry()):
+        for z in zs:
+            for codec in registry.codecs.values():
+                if codec.takes == "int" and hasattr(codec, "at_least"):
+                    assert codec.at_least(z) <= len(codec.encode(z))
+        tiles = spark.createDataFrame([(i, "z", z.reshape(-1).tolist()) for i, z in enumerate(zs)], "tile_index int, element string, values array<int>")
+        best = {r.tile_index: (r.codec_index, r.codec, bytes(r.packing)) for r in codecs.shortest(codecs.encode_tiles(tiles, shape, registry=registry)).collect()}
+        assert best == {i: codecs.best_packing(z, "int", registry) for i, z in enumerate(zs)}
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_a_tile_row_is_one_file(spark, tmp_path, compressed):
+    cells_ = spark.range(4000).select(F.floor(F.col("id") / 200).cast("int").alias("row"), (F.col("id") % 200).cast("int").alias("col"), F.col("id").cast("int").alias("z"), F.col("id").cast("float").alias("f"))
+    for names in (("z",), ("z", "f")):
+        path = str(tmp_path / "-".join(names))
+        spec = Spec(20, 200, 5, 4, tuple(Element(n, "float" if n == "f" else "int") for n in names), compressed=compressed)
+        store.create(path, Raster(spec, cells_.select("row", "col", *names)))
+        files = spark.read.parquet(f"{path}/{'tiles' if compressed else 'cells'}").inputFiles()
+        assert len(files) == 4
+        assert cells.differences(store.open_(spark, path).cells.select("row", "col", *names), cells_.select("row", "col", *names)).count() == 0
