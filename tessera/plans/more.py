@@ -416,7 +416,9 @@ def colour_name_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT unnest(['row_major', 'column_major', 'row_block', 'tile_block', 'tile_load']) AS shape, unnest([rows, cols, bands, tiles, tiles]) AS reads, n, total FROM n""")
 def scan_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
-    spec = spec_of(i, 50, 20)
+    m = i.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+    rows, cols = min(m.r + 1, 50), min(m.c + 1, 20)
+    spec = Spec(rows, cols, rows, cols)  # scans need a tile's size, not its number, which a specification keeps to 32 bits
     out = None
     for shape in stats.SHAPES:
         one = stats.scan_shape(i, spec, shape)

@@ -73,3 +73,11 @@ def test_tiles_are_put_together_without_lists(spark):
     """Cells meet in tiles sorted, as plain columns: lists of structs cost the JVM more than all else did."""
     plan = QUERIES["pred_nulls"](spark, SF)._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_scan_shapes_beyond_32_bits_of_tiles(spark, tmp_path):
+    """A scan numbers no tiles, so their numbers can't outgrow 32 bits."""
+    cells = [(2_000_000_000, 1_999_999_999, 5), (2_000_000_001, 1_999_999_998, 6), (0, 0, 7)]
+    spark.createDataFrame(cells, "l_partkey long, l_suppkey long, l_quantity long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["shape"]: (r.reads, r.n, r.total) for r in QUERIES["scan_shapes"](spark, str(tmp_path)).collect()}
+    assert found == {"row_major": (3, 3, 18.0), "column_major": (3, 3, 18.0), "row_block": (2, 3, 18.0), "tile_block": (2, 3, 18.0), "tile_load": (2, 3, 18.0)}
